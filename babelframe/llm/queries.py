@@ -2,10 +2,49 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import table
-from . import spans
+from ..session import stored, table
+from . import leaks, lookalikes, mixing, spans
+
+#: Where the public tokenizers lie.
+TOKENIZERS = os.environ.get("BABELFRAME_TOKENIZERS", "/opt/tokenizers")
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.texts_of(table(spark, d, "load_documents"), table(spark, d, "topics"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.same_looking(_texts(spark, d))
+
+
+def p1_consistent(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.consistent(_texts(spark, d)).select("field_name", "key", "text")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leak_report(p6_found(spark, d), table(spark, d, "eval_items"))
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    counts = stored(mixing.token_counts(table(spark, d, "documents"), f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken"))
+    plan, rows = mixing.mixture_plan(counts, table(spark, d, "mix_targets"))
+    return plan, mixing.mixture(plan, rows)
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[1]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(*_mixed(spark, d))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -17,5 +56,5 @@ def p8_amounts(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_amount(docs, spans.shared_spans(docs))
 
 
-QUERIES = {f.__name__: f for f in (p8_found, p8_amounts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p6_found, p6_report, p7_mixture, p7_shares, p8_found, p8_amounts)}
 ORACLE: dict[str, str] = {}
