@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import stored, table
-from . import leaks, lookalikes, mixing, spans
+from . import garbled, leaks, lookalikes, mixing, spans
 
 #: Where the public tokenizers lie.
 TOKENIZERS = os.environ.get("BABELFRAME_TOKENIZERS", "/opt/tokenizers")
@@ -25,6 +25,27 @@ def p1_consistent(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.consistent(_texts(spark, d)).select("field_name", "key", "text")
 
 
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.records_of(table(spark, d, "load_documents"), table(spark, d, "process_queries"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.garbled(_records(spark, d)).select("field_name", "rec_key").distinct()
+
+
+def p4_mapping(spark: SparkSession, d: str) -> DataFrame:
+    records = stored(_records(spark, d))
+    models = garbled.language_models(records)
+    return garbled.cipher_tables(stored(garbled.garbled(records, models)), models)
+
+
+def p4_restored(spark: SparkSession, d: str) -> DataFrame:
+    records = stored(_records(spark, d))
+    models = garbled.language_models(records)
+    found = stored(garbled.garbled(records, models))
+    return garbled.restored(found, stored(garbled.cipher_tables(found, models)), models)
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -56,5 +77,5 @@ def p8_amounts(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_amount(docs, spans.shared_spans(docs))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p6_found, p6_report, p7_mixture, p7_shares, p8_found, p8_amounts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p4_found, p4_mapping, p4_restored, p6_found, p6_report, p7_mixture, p7_shares, p8_found, p8_amounts)}
 ORACLE: dict[str, str] = {}
