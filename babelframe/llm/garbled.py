@@ -222,7 +222,8 @@ def records_of(load_documents: DataFrame, process_queries: DataFrame) -> DataFra
     """(field_name, rec_key, source, lang, text): documents by the letters of their ids, titles by language; a null language is that of most of the source."""
     docs = load_documents.select(F.lit("documents").alias("field_name"), F.col("doc_id").alias("rec_key"), F.substring("doc_id", 1, 2).alias("source"), iso3(F.col("lang")).alias("lang"), F.col("documents").alias("text"))
     usual = docs.where("lang is not null").groupBy("source", "lang").count().groupBy("source").agg(F.max_by("lang", F.struct("count", "lang")).alias("most"))
-    docs = docs.join(usual, "source", "left").select("field_name", "rec_key", "source", F.coalesce("lang", "most", F.lit("und")).alias("lang"), "text")
+    # stored, so that Spark knows how small it is and moves it instead of the texts
+    docs = docs.join(stored(usual), "source", "left").select("field_name", "rec_key", "source", F.coalesce("lang", "most", F.lit("und")).alias("lang"), "text")
     own = F.coalesce(iso3(F.col("lang")), F.lit("und"))
     titles = process_queries.select(F.lit("titles").alias("field_name"), F.concat("lang", F.lit("/"), "query_id").alias("rec_key"), F.concat(F.lit("titles/"), own).alias("source"), own.alias("lang"), F.col("titles").alias("text"))
     return docs.unionByName(titles).where("text is not null and rec_key is not null")
