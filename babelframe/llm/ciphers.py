@@ -168,7 +168,7 @@ class Language:
         if len(self.found) > 100_000:
             self.found.clear()
         x = self.found[token] = {}
-        odd = any(c not in self.usual and ord(c) > 127 for c in token)
+        odd = any(c not in self.usual and ord(c) > 127 for c in token) or any(_sequences(page).search(token) for page in READ_AS)
         if odd or self.closed:
             own = self.score(token)
             if odd or own < -4.0 * (len(token) + 1):
@@ -235,7 +235,7 @@ def learned(counts: dict[tuple[str, str], int], swap: str, language: Language, r
     """
     import numpy as np
 
-    letters = sorted({c.lower() for c in language.usual} | {" ", "0"} | {p[0] for p, n in language.pairs.items() if n * 1e5 > language.total})
+    letters = sorted({c.lower() for c in language.usual} | {" ", "0"} | {p[0] for p, n in language.pairs.items() if n * 1e5 > language.total} | {flat(g) for pair in counts for x in pair if (g := plain_of(x, swap))})
     place = {c: i for i, c in enumerate(letters)}
     bigrams = np.full((len(letters), len(letters)), 1e-9)
     for p, n in language.pairs.items():

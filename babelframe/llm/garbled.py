@@ -156,7 +156,7 @@ def garbled(records: DataFrame, models: dict[str, ciphers.Language] | None = Non
         sums = each.groupBy("row", "source").agg(F.sum("w").alias("all"))
         part = each.join(sums, ["row", "source"]).groupBy("source", "swap").agg(F.sum(F.col("w") / (1 + F.col("all"))).alias("n"))
         share = stored(part.join(sizes, "source").select("source", "swap", ((F.col("n") + 0.5) / (F.col("records") + 1)).alias("share")))
-    best = weighed(share).groupBy("row", "source").agg(F.max_by("swap", F.struct("w", "swap")).alias("swap"), F.sum("w").alias("all"))
+    best = weighed(share).groupBy("row", "source").agg(F.max_by("swap", F.struct(F.col("swap") != "lost", "w", ~F.col("swap").startswith("mac"), "swap")).alias("swap"), F.sum("w").alias("all"))
     best = best.withColumn("certainty", F.col("all") / (1 + F.col("all"))).where(F.col("certainty") >= LEAST_CERTAINTY)
     return found.withColumn("row", F.xxhash64("field_name", "rec_key", "text")).join(best.select("row", "source", "swap", "certainty"), ["row", "source"]).select("field_name", "rec_key", "source", "lang", "text", "swap", "certainty")
 
