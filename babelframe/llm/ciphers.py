@@ -7,7 +7,7 @@ import re
 from functools import cache
 
 # Code pages that text is read with by mistake, and those it may have been written in.
-READ_AS = ("latin-1", "cp1252", "cp1250", "cp1251", "cp1254", "cp1256", "cp437", "cp850", "cp866", "koi8-r", "iso8859-5", "mac-roman", "mac-cyrillic")
+READ_AS = ("latin-1", "cp1252", "cp1250", "cp1251", "cp1256", "cp437", "cp850", "cp866", "koi8-r", "iso8859-5", "mac-roman", "mac-cyrillic")
 WRITTEN_IN = ("cp1252", "cp1251", "koi8-r", "cp866", "iso8859-5", "mac-cyrillic", "mac-roman", "cp437", "cp850", "cp1256", "cp1250")
 #: Times that text may have been read wrongly as UTF-8 one after another.
 DEPTH = 3
@@ -110,9 +110,15 @@ class Language:
         letters = [c for c in usual if c.isalpha() and ord(c) > 127]
         self.written = [w for w in WRITTEN_IN if letters and sum(c in high_half(w) for c in letters) >= 0.8 * len(letters)]
         self.gbk = any("一" <= c <= "鿿" for c in usual)
-        tables = [one_for_one(page, w) for page in READ_AS for w in self.written if w != page]
+        #: One-for-one ciphers: name, table, and the characters that it turns into letters or usual characters.
+        self.maps: list[tuple[str, dict[int, str], set[str]]] = []
+        for page in READ_AS:
+            for w in self.written:
+                if w != page:
+                    table = one_for_one(page, w)
+                    self.maps.append((f"{w} as {page}", table, {chr(i) for i, c in table.items() if c.isalpha() or c in usual}))
         #: A swap may turn usual letters into usual letters, so that no character gives it away.
-        self.closed = any(sum(t.get(ord(c)) in usual for c in letters) >= 0.5 * len(letters) for t in tables)
+        self.closed = any(sum(t.get(ord(c)) in usual for c in letters) >= 0.5 * len(letters) for _, t, _ in self.maps)
         self.found: dict[str, dict[str, float]] = {}
 
     def pair(self, p: str) -> float:
@@ -126,41 +132,42 @@ class Language:
         t = f" {flat(token)} "
         return sum(map(self.pair, map("".join, zip(t, t[1:]))))
 
-    def forms(self, token: str) -> dict[str, str]:
-        """What the token would be under each swap, by the swap's name."""
+    def utf8_forms(self, token: str) -> dict[str, str]:
+        """What the token would be if UTF-8 had been misread, up to DEPTH times."""
         found: dict[str, str] = {}
         level = {"": token}
         for _ in range(DEPTH):
             level = {f"{name}+utf-8 as {page}" if name else f"utf-8 as {page}": form for name, t in level.items() for page in READ_AS if (form := _from_utf8(t, page))}
             found |= level
+        return found
+
+    def forms(self, token: str) -> dict[str, str]:
+        """What the token would be under each swap, by the swap's name."""
+        found = self.utf8_forms(token)
         high = {c for c in token if ord(c) > 127}
         odd = high - self.usual
-        for page in READ_AS:
-            known = high_half(page)
-            if not all(c in known for c in odd) or not any(c in known for c in high):
-                if self.gbk and (form := _from_gbk(token, page)):
-                    found[f"gbk as {page}"] = form
-                continue
-            for written in self.written:
-                if written != page:
-                    table = one_for_one(page, written)
+        for name, table, sensible in self.maps:
+            if odd <= sensible:
+                if high <= sensible:
                     form = token.translate(table)
                     if form != token:
-                        found[f"{written} as {page}"] = form
-                    rare = "".join(table.get(ord(c), c) if c not in self.usual else c for c in token)
-                    if rare not in (token, form):
-                        found[f"{written} as {page}, in part"] = rare
-            if self.gbk and (form := _from_gbk(token, page)):
-                found[f"gbk as {page}"] = form
-        if any("一" <= c <= "鿿" for c in token) and (form := _utf8_read_as_gbk(token)):
-            found["utf-8 as gbk"] = form
+                        found[name] = form
+                if odd and odd != high:
+                    found[f"{name}, in part"] = "".join(table.get(ord(c), c) if c in odd else c for c in token)
+        if self.gbk:
+            for page in READ_AS:
+                if form := _from_gbk(token, page):
+                    found[f"gbk as {page}"] = form
+            if any("一" <= c <= "鿿" for c in token) and (form := _utf8_read_as_gbk(token)):
+                found["utf-8 as gbk"] = form
         return found
 
     def swaps(self, token: str) -> dict[str, float]:
         """Swaps under which the token is much likelier, with the gain in log-probability.
 
         What comes out must be a word that the corpus has far more often than the token, or else be likelier by its bigrams alone: by a little
-        where bytes formed valid UTF-8 of usual characters, by much otherwise.
+        where bytes formed valid UTF-8 of usual characters, by much otherwise. A token is looked at if it has an unusual character, a sign
+        inside a word or a well-formed byte sequence, or if it is unlikely as a whole and its letters could stand for each other.
         """
         x = self.found.get(token)
         if x is not None:
@@ -168,24 +175,42 @@ class Language:
         if len(self.found) > 100_000:
             self.found.clear()
         x = self.found[token] = {}
-        odd = any(c not in self.usual and ord(c) > 127 for c in token) or any(_sequences(page).search(token) for page in READ_AS)
-        if odd or self.closed:
+        odd = any(c not in self.usual and ord(c) > 127 for c in token) or SIGN_INSIDE.search(token) is not None
+        own = self.score(token) if odd or self.closed else 0.0
+        if odd or self.closed and own < -4.0 * (len(token) + 1):
+            forms = self.forms(token)
+        elif any(_sequences(page).search(token) for page in READ_AS):
+            forms = self.utf8_forms(token)
             own = self.score(token)
-            if odd or own < -4.0 * (len(token) + 1):
-                count, old = self.words.get(word(token), 0), set(token)
-                for name, form in self.forms(token).items():
-                    new = {c for c in form if c not in old}
-                    entry = word(form)
-                    n = self.words.get(entry, 0)
-                    if n >= 3 and n >= 8 * count and ("utf-8" in name or all(c.isalpha() or c in self.usual for c in new)) and entry.strip("0"):
-                        x[name] = max(self.score(form) - own, 0.0) + math.log(n / (count + 1))
-                    elif all(c in self.usual for c in new):
-                        gain = self.score(form) - own
-                        if gain >= (4.0 if "utf-8" in name else 9.0):
-                            x[name] = gain
+        else:
+            return x
+        count, old = self.words.get(word(token), 0), set(token)
+        for name, form in forms.items():
+            new = {c for c in form if c not in old}
+            entry = word(form)
+            n = self.words.get(entry, 0)
+            if n >= 3 and n >= 8 * count and ("utf-8" in name or all(c.isalpha() or c in self.usual for c in new)) and entry.strip("0"):
+                x[name] = max(self.score(form) - own, 0.0) + math.log(n / (count + 1))
+            elif all(c in self.usual for c in new):
+                gain = self.score(form) - own
+                if gain >= (4.0 if "utf-8" in name else 9.0):
+                    x[name] = gain
         return x
 
 
+_MADE: dict[str, dict[str, Language]] = {}
+
+
+def made(name: str, parts: dict[str, tuple]) -> dict[str, Language]:
+    """The languages of a model, made once per worker process, so that what a task found out about a token serves the next one."""
+    if name not in _MADE:
+        _MADE.clear()
+        _MADE[name] = {lang: Language(*m) for lang, m in parts.items()}
+    return _MADE[name]
+
+
+#: A sign between two letters.
+SIGN_INSIDE = re.compile(r"[^\W\d_][^\w\s\x00-\x7f][^\W\d_]")
 LOST = re.compile("[�\x80-\x9f]")
 TOKENS = re.compile(r"[^ \t\r\n]+")
 
@@ -270,13 +295,13 @@ def learned(counts: dict[tuple[str, str], int], swap: str, language: Language, r
 def restore(text: str, language: Language, swap: str, table: dict[str, str]) -> str:
     """The text with each token that is likelier under the swap deciphered.
 
-    `table` has the letter learned for each symbol in lower case; it goes through str.translate where symbols are single characters. A letter's
-    case, and symbols without a learned letter, follow the code pages.
+    `table` has the letter learned for each symbol, in lower case. It is applied by str.translate where symbols are single characters, and
+    yields to the code pages of the swap for a token that they make a more frequent word, or else a likelier one; they also give the case.
     """
 
     def letter(symbol: str) -> str:
         page, own = plain_of(symbol, swap), table.get(symbol)
-        return symbol if page is None and own is None else page if own is None or page is not None and flat(page) == own else own
+        return page or symbol if own is None or page is not None and flat(page) == own else own
 
     def one(m: re.Match[str]) -> str:
         token = m[0]
@@ -286,8 +311,7 @@ def restore(text: str, language: Language, swap: str, table: dict[str, str]) ->
         symbols = units(token, swap)
         if not any(s in table for s in symbols):
             return form
-        if all(len(s) == 1 for s in symbols):
-            return token.translate({ord(s): letter(s) for s in symbols if s in table or ord(s) > 127})
-        return "".join(letter(s) for s in symbols)
+        own = token.translate({ord(s): letter(s) for s in symbols if s in table or ord(s) > 127}) if all(len(s) == 1 for s in symbols) else "".join(map(letter, symbols))
+        return max((form, own), key=lambda f: (language.words.get(word(f), 0), language.score(f)))
 
     return TOKENS.sub(one, text)

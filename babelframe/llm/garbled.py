@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -107,8 +108,10 @@ _GAINS = pa.list_(pa.struct([("swap", pa.string()), ("gain", pa.float64())]))
 
 
 def _scored(models: dict[str, tuple]):
+    name = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = {lang: ciphers.Language(*m) for lang, m in models.items()}
+        own = ciphers.made(name, models)
         none = ciphers.Language({}, {}, set())
         for batch in batches:
             at, found = [], []
@@ -144,7 +147,7 @@ def garbled(records: DataFrame, models: dict[str, ciphers.Language] | None = Non
     models = language_models(records) if models is None else models
     found = stored(suspects(records, models))
     sizes = records.groupBy("source").agg(F.count(F.lit(1)).alias("records"))
-    rows = found.withColumn("row", F.xxhash64("field_name", "rec_key", "text")).select("row", "source", F.explode("gains").alias("g")).select("row", "source", "g.swap", F.exp(F.least(F.col("g.gain"), F.lit(50.0))).alias("odds"))
+    rows = found.withColumn("row", F.xxhash64("field_name", "rec_key", "text")).select("row", "source", F.explode("gains").alias("g")).select("row", "source", "g.swap", "g.gain", F.exp(F.least(F.col("g.gain"), F.lit(50.0))).alias("odds"))
     rows = stored(rows)
     share = stored(rows.select("source", "swap").distinct().withColumn("share", F.lit(FIRST_SHARE)))
 
@@ -156,14 +159,16 @@ def garbled(records: DataFrame, models: dict[str, ciphers.Language] | None = Non
         sums = each.groupBy("row", "source").agg(F.sum("w").alias("all"))
         part = each.join(sums, ["row", "source"]).groupBy("source", "swap").agg(F.sum(F.col("w") / (1 + F.col("all"))).alias("n"))
         share = stored(part.join(sizes, "source").select("source", "swap", ((F.col("n") + 0.5) / (F.col("records") + 1)).alias("share")))
-    best = weighed(share).groupBy("row", "source").agg(F.max_by("swap", F.struct(F.col("swap") != "lost", "w", ~F.col("swap").startswith("mac"), "swap")).alias("swap"), F.sum("w").alias("all"))
+    best = weighed(share).groupBy("row", "source").agg(F.max_by("swap", F.struct(F.col("swap") != "lost", F.col("gain") + F.log("share"), ~F.col("swap").startswith("mac"), "swap")).alias("swap"), F.sum("w").alias("all"))
     best = best.withColumn("certainty", F.col("all") / (1 + F.col("all"))).where(F.col("certainty") >= LEAST_CERTAINTY)
     return found.withColumn("row", F.xxhash64("field_name", "rec_key", "text")).join(best.select("row", "source", "swap", "certainty"), ["row", "source"]).select("field_name", "rec_key", "source", "lang", "text", "swap", "certainty")
 
 
 def _symbol_pairs(models: dict[str, tuple]):
+    name = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = {lang: ciphers.Language(*m) for lang, m in models.items()}
+        own = ciphers.made(name, models)
         counts: Counter = Counter()
         for batch in batches:
             for source, lang, text, swap in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
@@ -208,8 +213,10 @@ def restored(found: DataFrame, tables: DataFrame, models: dict[str, ciphers.Lang
     table = tables.where(F.col("certainty") >= least).groupBy("source", "lang", "swap").agg(F.collect_list(F.struct("symbol", "letter")).alias("entries"))
     rows = found.join(table, ["source", "lang", "swap"], "left").select("field_name", "rec_key", "swap", "lang", "text", F.col("entries.symbol").alias("symbols"), F.col("entries.letter").alias("letters"))
 
+    name = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = {lang: ciphers.Language(*m) for lang, m in parts.items()}
+        own = ciphers.made(name, parts)
         for batch in batches:
             swaps, langs, texts, symbols, letters = (batch.column(i).to_pylist() for i in range(2, 7))
             out = [t if s == "lost" or lang not in own else ciphers.restore(t, own[lang], s, dict(zip(a or [], b or [], strict=True))) for s, lang, t, a, b in zip(swaps, langs, texts, symbols, letters, strict=True)]
