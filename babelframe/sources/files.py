@@ -10,7 +10,7 @@ from ..functions.text import clean_text, strip
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(file_name, file_path, line_no, value): lines of text files with their place; each file is read whole, for files of judgments and rankings."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_path").alias("file_path"), "value")
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_path").alias("file_path"), "value")
     return raw.select("file_name", "file_path", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value")).where("value <> ''")
 
 
@@ -26,7 +26,7 @@ def language_of_folder(path: Column) -> Column:
 
 def target_of_name(name: Column) -> Column:
     """The second language of a name like a_b, or the name itself."""
-    return F.coalesce(F.split(name, "_")[1], name)
+    return F.coalesce(F.get(F.split(name, "_"), F.lit(1)), name)
 
 
 def spaced_judgments(rows: DataFrame) -> DataFrame:
@@ -69,7 +69,7 @@ def two_columns(rows: DataFrame, value: str = "value") -> DataFrame:
 
 def lexicon_entries(spark: SparkSession, path: str) -> DataFrame:
     """(pos, key, value) of a file that is one JSON object, value as JSON text; a later entry of a repeated key has a later position."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     pairs = F.map_entries(F.from_json("value", "map<string,string>"))
     e = raw.select(F.posexplode(pairs).alias("pos", "e")).select(F.col("pos").cast("bigint").alias("pos"), F.col("e.key").alias("key"), F.col("e.value").alias("v"))
     return e.select("pos", "key", F.when(F.ltrim("v").startswith("["), F.col("v")).when(F.col("v").isNull(), "null").otherwise(F.substring(F.to_json(F.array("v")), 2, 2**31 - 1)).alias("value")).withColumn("value", F.when(F.ltrim("value").startswith("[") | (F.col("value") == "null"), F.col("value")).otherwise(F.regexp_replace("value", r"\]$", "")))

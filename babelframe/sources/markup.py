@@ -15,11 +15,8 @@ from ..functions.text import clean_text, drop_newlines, strip, topic_number
 
 def read_whole(spark: SparkSession, path: str, encoding: str = "ISO-8859-1", pattern: str | None = None) -> DataFrame:
     """(path, text): whole files, plain or gzip, decoded; DTDs and README files are left out. Invalid UTF-8 bytes are dropped."""
-    reader = spark.read.option("wholetext", True)
-    if pattern is not None:
-        reader = reader.option("pathGlobFilter", pattern)
     name = F.col("_metadata.file_name")
-    raw = reader.text(path).where(~name.endswith(".dtd") & ~name.startswith("README"))
+    raw = spark.read.text(path, wholetext=True, pathGlobFilter=pattern).where(~name.endswith(".dtd") & ~name.startswith("README"))
     if encoding.upper() in ("UTF-8", "UTF8"):
         text = F.replace(F.make_valid_utf8("value"), F.lit("�"), F.lit(""))
     else:
