@@ -13,6 +13,10 @@ WRITTEN_IN = ("cp1252", "cp1251", "koi8-r", "cp866", "iso8859-5", "mac-cyrillic"
 DEPTH = 3
 #: Least log-probability of a pair of characters, so that one rare character decides nothing.
 FLOOR = -12.0
+#: Characters that text has for its layout, which show nothing by themselves: no-break space and soft hyphen.
+PLAIN_SIGNS = "\xa0\xad"
+#: What well-formed UTF-8 adds to a gain, for it is rare in text that was read rightly.
+WELL_FORMED = 3.0
 
 
 @cache
@@ -189,12 +193,18 @@ class Language:
             new = {c for c in form if c not in old}
             entry = word(form)
             n = self.words.get(entry, 0)
-            if n >= 3 and n >= 8 * count and ("utf-8" in name or all(c.isalpha() or c in self.usual for c in new)) and entry.strip("0"):
-                x[name] = max(self.score(form) - own, 0.0) + math.log(n / (count + 1))
+            utf8 = "utf-8" in name
+            likely = n >= 3 and n >= (1 if utf8 else 8) * count and entry.strip("0")
+            if likely and (utf8 or len(entry) > 1 and all(c.isalpha() or c in self.usual for c in new)):
+                x[name] = max(self.score(form) - own, 0.0) + math.log(n / (count + 1)) + WELL_FORMED * utf8
             elif all(c in self.usual for c in new):
+                gone = set(token).difference(form)
+                if not any(c not in self.usual and c not in PLAIN_SIGNS for c in gone) and (utf8 or len(gone) < 3):
+                    continue
                 gain = self.score(form) - own
-                if gain >= (4.0 if "utf-8" in name else 9.0):
-                    x[name] = gain
+                several = utf8 and sum(len(u) > 1 for u in units(token, name)) > 1
+                if several or gain >= (4.0 if utf8 else 9.0):
+                    x[name] = max(gain, 0.0) + WELL_FORMED * (utf8 + several)
         return x
 
 
