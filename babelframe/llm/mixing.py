@@ -58,7 +58,7 @@ def mixture_plan(counts: DataFrame, targets: DataFrame, total_tokens: int | None
     of tokens by source and hash bucket: the bucket in which the running sum passes the budget is cut again into finer buckets, and the
     others are done. Thresholds grow with the budget, so a smaller mixture is part of a larger one. Nothing is sorted but the buckets.
 
-    Plan: (source, target_share, max_repeats, available, budget, full_uses, threshold). Sources without records have available 0; repeated
+    Plan: (source, target_share, max_repeats, available, total, budget, full_uses, threshold). Sources without records have available 0; repeated
     target rows of a source add up their shares and keep the least max_repeats; null sources and null or negative shares are left out.
     """
     own = targets.where("source is not null and target_share > 0").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.greatest(F.min(F.coalesce("max_repeats", F.lit(1))), F.lit(0)).alias("max_repeats"))
@@ -68,7 +68,7 @@ def mixture_plan(counts: DataFrame, targets: DataFrame, total_tokens: int | None
     plan = stored(plan)
     if total_tokens is None:
         total_tokens = plan.agg(F.sum("available")).first()[0] or 0
-    plan = plan.withColumn("budget", F.floor(F.col("target_share") * F.lit(total_tokens)).cast("bigint"))
+    plan = plan.withColumn("total", F.lit(total_tokens).cast("bigint")).withColumn("budget", F.floor(F.col("target_share") * F.col("total")).cast("bigint"))
     full = F.when(F.col("available") > 0, F.least(F.floor(F.col("budget") / F.col("available")), F.col("max_repeats"))).otherwise(0).cast("int")
     plan = plan.withColumn("full_uses", full)
     rest = F.when((F.col("full_uses") < F.col("max_repeats")) & (F.col("available") > 0), F.col("budget") - F.col("full_uses") * F.col("available")).otherwise(0)
@@ -85,7 +85,7 @@ def mixture_plan(counts: DataFrame, targets: DataFrame, total_tokens: int | None
         # the first bucket that no longer fits whole, and the tokens before it
         cut = running.join(plan.select("source", "rest"), "source").where("upto > rest").groupBy("source").agg(F.min("bucket").alias("bucket"), F.min(F.col("upto") - F.col("tokens")).alias("before"))
         step = F.shiftleft(F.col("bucket").cast("bigint"), 64 - BUCKET_BITS * (level + 1))
-        plan = stored(plan.join(cut, "source", "left").select("source", "target_share", "max_repeats", "available", "budget", "full_uses", F.when(F.col("bucket").isNotNull(), F.col("rest") - F.col("before")).otherwise(0).alias("rest"), F.when(F.col("bucket").isNotNull(), F.col("threshold").bitwiseOR(step)).otherwise(F.col("threshold")).alias("threshold")))
+        plan = stored(plan.join(cut, "source", "left").select("source", "target_share", "max_repeats", "available", "total", "budget", "full_uses", F.when(F.col("bucket").isNotNull(), F.col("rest") - F.col("before")).otherwise(0).alias("rest"), F.when(F.col("bucket").isNotNull(), F.col("threshold").bitwiseOR(step)).otherwise(F.col("threshold")).alias("threshold")))
     return plan.drop("rest"), rows
 
 
@@ -97,12 +97,13 @@ def mixture(plan: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def shares(plan: DataFrame, mixed: DataFrame) -> DataFrame:
-    """One row per target source: (source, target_share, max_repeats, available, budget, used, actual_share, most_uses, falls_short).
+    """One row per target source: (source, target_share, max_repeats, available, budget, used, actual_share, share_of_total, most_uses, falls_short).
 
-    actual_share is of all tokens used. A source falls short if all its records at max_repeats are less than its budget.
+    actual_share is of all tokens used, share_of_total of the tokens asked for: where sources fall short, the others have their target share
+    of the latter and more than it of the former, since nothing takes the place of what is missing. A source falls short if all its records at max_repeats are less than its budget.
     """
     sums = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("used"), F.max("uses").alias("most_uses"))
     got = plan.join(sums, "source", "left").withColumn("used", F.coalesce("used", F.lit(0))).withColumn("most_uses", F.coalesce("most_uses", F.lit(0)))
     whole = got.agg(F.sum("used")).first()[0] or 0
     actual = F.col("used") / F.lit(whole) if whole else F.lit(0.0)
-    return got.select("source", "target_share", "max_repeats", "available", "budget", "used", actual.alias("actual_share"), "most_uses", (F.col("available") * F.col("max_repeats") < F.col("budget")).alias("falls_short"))
+    return got.select("source", "target_share", "max_repeats", "available", "budget", "used", actual.alias("actual_share"), F.when(F.col("total") > 0, F.col("used") / F.col("total")).otherwise(0.0).alias("share_of_total"), "most_uses", (F.col("available") * F.col("max_repeats") < F.col("budget")).alias("falls_short"))

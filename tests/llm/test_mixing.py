@@ -32,6 +32,7 @@ def test_shares_and_caps(spark):
             assert r["used"] == r["available"] * cap
         else:
             assert share * total - 60 <= r["used"] <= share * total
+            assert abs(r["share_of_total"] - share) <= 60 / total
     assert got["none"]["falls_short"] and got["none"]["used"] == 0 and got["small"]["falls_short"] == (got["small"]["available"] * 4 < 6000)
     assert mixed.where("source = 'other'").count() == 0
     assert abs(sum(r["actual_share"] for r in got.values()) - 1) < 1e-9
