@@ -121,7 +121,7 @@ class LeastTable:
     """Nearest smaller values of an array, by least values over spans of powers of two."""
 
     def __init__(self, x: np.ndarray) -> None:
-        self.n, self.tables = len(x), [x.astype(np.int16)]
+        self.n, self.tables = len(x), [x.astype(np.int16 if x.max() < 2**15 else np.int32)]
         span = 1
         while span * 2 <= self.n:
             last = self.tables[-1]

@@ -78,4 +78,17 @@ def p8_amounts(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p4_found, p4_mapping, p4_restored, p6_found, p6_report, p7_mixture, p7_shares, p8_found, p8_amounts)}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "p6_found": r"""
+with d as (select doc_id, regexp_extract_all(lower("text"), '[\p{L}\p{N}]+') w from documents where "text" is not null),
+i as (select item_id, regexp_extract_all(lower("text"), '[\p{L}\p{N}]+') w from eval_items where "text" is not null),
+r as (select distinct item_id, n, array_to_string(w[k : k + n - 1], ' ') run from (select item_id, w, least(len(w), 12) n, unnest(range(1, len(w) - least(len(w), 12) + 2)) k from i where len(w) > 0)),
+t as (select doc_id, n, array_to_string(w[k : k + n - 1], ' ') run from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) k from d, (select distinct n from r) where len(w) >= n))
+select distinct doc_id, item_id from t join r using (n, run)""",
+    "p8_found": """
+with w as (select doc_id, j - 1 a, md5(substr("text", j, 260)) h from (select doc_id, "text", unnest(range(1, length("text") - 258)) j from documents where length("text") >= 260)),
+s as (select h from w group by h having min(doc_id) < max(doc_id)),
+m as (select doc_id, a, case when a <= lag(a) over (partition by doc_id order by a) + 260 then 0 else 1 end f from w where h in (select h from s)),
+g as (select doc_id, a, sum(f) over (partition by doc_id order by a) g from m)
+select doc_id, min(a) start_at, max(a) + 260 end_at from g group by doc_id, g""",
+}

@@ -45,22 +45,24 @@ def _anchor_rows(least: int):
                 a, b = np.maximum(starts[doc], at - (least - ANCHOR)), np.minimum(starts[doc + 1], at + least)
                 seg = C.RangeHash(codes).of(a, b)
                 ids = part.column(0).to_numpy(zero_copy_only=False)[doc]
-                cols = [grams.view(np.int64), seg.view(np.int64), ids, (a - starts[doc]).astype(np.int32), (at - a).astype(np.int16), (b - a).astype(np.int16)]
+                cols = [grams.view(np.int64), seg.view(np.int64), ids, (a - starts[doc]).astype(np.int32), (at - a).astype(np.int32), (b - a).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["anchor", "seg", "doc_id", "start_at", "anchor_at", "size"])
 
     return run
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments of each document as text."""
+    """Segments of each document as text; one that has not the segment's hash was cut from another text under the same id and goes."""
     names = ["anchor", "seg", "low_doc", "high_doc", "anchor_at", "segment"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.string()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
     for batch in batches:
         rows = []
         for doc, text, segs in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             rows += [(s["anchor"], s["seg"], doc, s["high_doc"], s["anchor_at"], text[s["start_at"] : s["start_at"] + s["size"]]) for s in segs]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            codes, starts = C.code_points([r[5] for r in rows])
+            true = C.RangeHash(codes).of(starts[:-1], starts[1:]).view(np.int64) == np.array([r[1] for r in rows])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names).filter(pa.array(true))
 
 
 def _windows(least: int):
@@ -122,13 +124,12 @@ def shared_spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     `shard_segments` different segments has its windows compared by hash over all tasks instead, which is exact too.
     """
     docs = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where(F.length("text") >= least)
-    rows = stored(docs.where("doc_id is not null").mapInArrow(_anchor_rows(least), "anchor bigint, seg bigint, doc_id bigint, start_at int, anchor_at smallint, size smallint"))
+    rows = stored(docs.where("doc_id is not null").mapInArrow(_anchor_rows(least), "anchor bigint, seg bigint, doc_id bigint, start_at int, anchor_at int, size int"))
     several = rows.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
     held = stored(rows.join(several, "anchor"))
     different = held.groupBy("anchor", "seg").agg(F.min(F.struct("doc_id", "start_at", "anchor_at", "size")).alias("one"), F.max("doc_id").alias("high_doc"))
     chosen = different.groupBy(F.col("one.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("anchor", "seg", "high_doc", "one.start_at", "one.anchor_at", "one.size")).alias("segs"))
-    # a doc_id may come with several texts: the hash of the segment tells from which it was cut
-    cut = docs.join(chosen, "doc_id").select("doc_id", "text", "segs").mapInArrow(_cut, "anchor bigint, seg bigint, low_doc bigint, high_doc bigint, anchor_at smallint, segment string")
+    cut = docs.join(chosen, "doc_id").select("doc_id", "text", "segs").mapInArrow(_cut, "anchor bigint, seg bigint, low_doc bigint, high_doc bigint, anchor_at int, segment string")
     cut = stored(cut)
     hot = cut.groupBy("anchor").count().where(F.col("count") > shard_segments).select("anchor")
     calm = cut.join(hot, "anchor", "left_anti")

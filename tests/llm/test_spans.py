@@ -103,3 +103,10 @@ def test_suffix_order_and_prefixes():
         a, b = text[wanted[i - 1] :], text[wanted[i] :]
         n = next(k for k in range(len(text)) if k >= min(len(a), len(b)) or a[k] != b[k])
         assert index.common[i] == n
+
+
+def test_one_id_with_two_texts(spark, rows_of):
+    rng = random.Random(8)
+    part = "".join(rng.choice("abcdefghij") for _ in range(100))
+    docs = [(1, "x" * 70 + part), (1, "other" * 40), (2, part)]
+    assert rows_of(shared_spans(frame(spark, docs), least=60)) == [(1, 70, 170), (2, 0, 100)]
