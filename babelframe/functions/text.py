@@ -30,6 +30,16 @@ def tokens(x: Column) -> Column:
     return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, " "))
 
 
+def word_tokens(x: Column) -> Column:
+    """Words (with inner apostrophes and hyphens) and single signs, in order; null for null."""
+    return F.regexp_extract_all(x, F.lit(r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*|[^\s\p{L}\p{N}]"), 0)
+
+
+def join_tokens(x: Column) -> Column:
+    """Tokens as running text: no blank before closing and after opening signs."""
+    return F.regexp_replace(F.regexp_replace(F.array_join(x, " "), r" ([.,;:!?)\]}”»%])", "$1"), r"([(\[{“«]) ", "$1")
+
+
 def terms(x: Column) -> Column:
     """Runs of letters and digits in lower case, for indexing; null gives none."""
     return F.filter(F.split(F.lower(F.coalesce(x, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")

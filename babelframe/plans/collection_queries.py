@@ -58,17 +58,24 @@ lex as (select word, list(cand order by r) candidates from lc where r <= 3 group
 _EN = "en as (select lang || '/' || query_id || '/' || coll_year row_key, max(titles) \"text\" from process_queries where lang = 'en' and query_id is not null and titles is not null and coll_year is not null group by 1)"
 
 
-def _switch(probability: float, seed: int, source: str = "en", key: str = "row_key", text: str = '"text"') -> str:
+_WORDS = r"regexp_extract_all(x, '[\p{L}\p{N}]+(?:[''’-][\p{L}\p{N}]+)*|[^\s\p{L}\p{N}]')"
+
+
+def _switch(probability: float, seed: int, words: bool = False) -> str:
+    cut = _WORDS if words else "case when c = '' then [] else string_split(c, ' ') end"
+    join = "string_agg(w, ' ' order by i)"
+    if words:
+        join = rf"regexp_replace(regexp_replace({join}, ' ([.,;:!?)\]}}”»%])', '\1', 'g'), '([(\[{{“«]) ', '\1', 'g')"
     h = f"md5('{seed}:' || row_key || ':' || (i - 1))"
     return f"""
-sw0 as (select {key} row_key, {text} x, {_clean(text)} c from {source}),
-sw1 as (select row_key, x, unnest(case when c = '' then [] else string_split(c, ' ') end) token, generate_subscripts(case when c = '' then [] else string_split(c, ' ') end, 1) i from sw0),
+sw0 as (select row_key, "text" x, {_clean('"text"')} c from en),
+sw1 as (select row_key, x, unnest({cut}) token, generate_subscripts({cut}, 1) i from sw0),
 sw2 as (select row_key, x, i, token, case when candidates is not null and ('0x' || substr({h}, 1, 8))::bigint / 4294967296.0 < {probability}
         then candidates[1 + ('0x' || substr({h}, 9, 8))::bigint % len(candidates)] end pick from sw1 left join lex on lower(token) = word),
 sw3 as (select row_key, x, i, pick, case when pick is null then token when token = upper(token) and token <> lower(token) then upper(replace(pick, 'ß', 'ss'))
         when substr(token, 1, 1) = upper(substr(token, 1, 1)) and substr(token, 1, 1) <> lower(substr(token, 1, 1)) then upper(substr(pick, 1, 1)) || lower(substr(pick, 2)) else pick end w from sw2),
-sw as (select row_key, case when count(pick) = 0 then any_value(x) else string_agg(w, ' ' order by i) end "text", cast(count(pick) as int) n_switches from sw3 group by row_key
-       union all select row_key, x, 0 from sw0 where c = '')"""
+sw as (select row_key, case when count(pick) = 0 then any_value(x) else {join} end "text", cast(count(pick) as int) n_switches from sw3 group by row_key
+       union all select row_key, x, 0 from sw0 where len({cut}) = 0)"""
 
 
 def _bm25(queries: str, docs: str, k: int) -> str:
@@ -332,6 +339,11 @@ def codeswitch_queries(spark: SparkSession, d: str) -> DataFrame:
     return codeswitch.switched(_english(spark, d), _lexicon(spark, d), 0.5, 42)
 
 
+@query(f"with {_LEXICON}, {_EN}, {_switch(0.5, 13, words=True)} select row_key, \"text\", n_switches from sw")
+def codeswitch_words(spark: SparkSession, d: str) -> DataFrame:
+    return codeswitch.switched(_english(spark, d), _lexicon(spark, d), 0.5, 13, tokenizer="words")
+
+
 @query(f"""with {_LEXICON}, {_EN}, {_switch(0.5, 42)}
 select count(*) total_rows, count(*) filter (n_switches > 0) switched_rows, cast(sum(n_switches) as bigint) switches, round(100.0::double * count(*) filter (n_switches > 0) / count(*), 4) rate,
 round(sum(n_switches)::double / count(*) filter (n_switches > 0), 4) per_switched_row from sw""")

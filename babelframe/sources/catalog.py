@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from . import markup
+from .files import rerank_corpus
 
 
 @dataclass(frozen=True)
@@ -41,3 +42,8 @@ class Catalog:
                 files = markup.read_whole(spark, f"{self.root}/{c.folder}", c.encoding)
                 got = got.unionByName(markup.documents(markup.fragments(files, "DOC"), c.rule, body_only, only_ids))
         return got
+
+    def collection(self, spark: SparkSession, lang: str, year: str, queries: DataFrame, judgments: DataFrame, ranked: DataFrame | None = None, top: int = -1) -> Collection:
+        """The three tables of one language and year; with a ranking and top >= 0, only documents among the first `top` of any query."""
+        only = None if ranked is None or top < 0 else rerank_corpus(ranked, top)
+        return Collection(self.documents(spark, lang, year, only_ids=only), queries, judgments)

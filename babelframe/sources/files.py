@@ -67,6 +67,18 @@ def two_columns(rows: DataFrame, value: str = "value") -> DataFrame:
     return rows.where(F.col(value).contains("\t")).select(strip(w[0]).alias("id"), strip(w[1]).alias("text"))
 
 
+def quoted_columns(rows: DataFrame, value: str = "value") -> DataFrame:
+    """The rows with `cols`, the tab-separated fields of a line of any width; a quoted field may hold tabs, and two quotes in it mean one. Empty lines go."""
+    raw = F.regexp_extract_all(F.concat(F.lit("\t"), F.col(value)), F.lit(r'\t(?:"(?:[^"]|"")*"(?=\t|$)|[^\t]*)'), 0)
+
+    def plain(x: Column) -> Column:
+        field = F.substring(x, 2, 2**31 - 1)
+        quoted = (F.length(field) > 1) & field.startswith('"') & field.endswith('"')
+        return F.when(quoted, F.replace(F.substring(field, F.lit(2), F.length(field) - 2), F.lit('""'), F.lit('"'))).otherwise(field)
+
+    return rows.where(F.col(value) != "").withColumn("cols", F.transform(raw, plain))
+
+
 def lexicon_entries(spark: SparkSession, path: str) -> DataFrame:
     """(pos, key, value) of a file that is one JSON object, value as JSON text; a later entry of a repeated key has a later position."""
     raw = spark.read.text(path, wholetext=True)

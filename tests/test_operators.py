@@ -29,6 +29,11 @@ def test_code_switching(spark):
     assert again == on
     literal = rows.select("row_key", C.switched_in_row("text", {"the": ["le"], "house": ["maison", "demeure"]}, 1.0, 13, "row_key").alias("t")).where("row_key = '1'").first()
     assert literal["t"] == on["1"][0]
+    words = spark.createDataFrame([("1", "See “the house”, (HOUSE)!  Don't")], "row_key string, text string")
+    assert C.switched(words, lexicon.where("word = 'house'").withColumn("candidates", F.array(F.lit("logis"))), 1.0, tokenizer="words").first()["text"] == "See “the logis ”, (LOGIS)! Don't".replace(" ”", "”")
+    table = spark.createDataFrame([("1", ["q1", "x", "the"]), ("2", ["the"]), ("3", []), ("4", ["q", "none"])], "row_key string, cols array<string>")
+    got = {r["row_key"]: (r["cols"], r["n_switches"]) for r in C.switched_columns(table, lexicon, probability=1.0).collect()}
+    assert got == {"1": (["q1", "x", "le"], 1), "2": (["the"], 0), "3": ([], 0), "4": (["q", "none"], 0)}
     stats = C.switch_statistics(C.switched(rows, lexicon, 1.0)).first()
     assert (stats["total_rows"], stats["switched_rows"], stats["switches"], stats["rate"], stats["per_switched_row"]) == (5, 2, 3, 40.0, 1.5)
     assert tuple(C.switch_statistics(C.switched(rows.limit(0), lexicon)).first()) == (0, 0, 0, 0.0, 0.0)

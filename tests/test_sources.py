@@ -96,6 +96,12 @@ def test_two_columns(spark):
     assert sorted(tuple(r) for r in files.two_columns(df).collect()) == [("1", '"a\tb"'), ("3", "")]
 
 
+def test_quoted_columns(spark):
+    lines = ['a\t"b\tc ""d"""\te', "", "one", '"x', 'a\t"q" y', "\t\t", '""\tz']
+    got = [r["cols"] for r in files.quoted_columns(spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, value string")).orderBy("i").collect()]
+    assert got == [["a", 'b\tc "d"', "e"], ["one"], ['"x'], ["a", '"q" y'], ["", "", ""], ["", "z"]]
+
+
 def test_lexicon_file(spark, tmp_path):
     from babelframe.operators.codeswitch import normalized_lexicon
 
