@@ -14,25 +14,35 @@ from pyspark.sql import functions as F
 
 COLUMNS = ("query_id", "iter", "doc_id", "relevance")
 DOC_ID, RELEVANCE = r"^[A-Z]{2}[0-9]{6}-[0-9]{4,}$", r"^(-0*1|-?0+|0*[123])$"
-#: Lines of one first block. Blocks of one bad line are reached after log2 of this many halvings.
+#: Lines of one first block.
 BLOCK_LINES = 4096
+#: Lines from which a failing block is no longer halved but read strictly, line by line.
+STRICT_LINES = 16
 _READ = pacsv.ReadOptions(column_names=list(COLUMNS), use_threads=False)
 _PARSE = pacsv.ParseOptions(delimiter=" ", quote_char=False, newlines_in_values=False, ignore_empty_lines=False)
 _TYPES = pacsv.ConvertOptions(column_types=dict.fromkeys(COLUMNS, pa.string()), strings_can_be_null=False)
 _SCHEMA = pa.schema([("line_no", pa.int64()), *((c, pa.string()) for c in COLUMNS), ("reasons", pa.list_(pa.string()))])
 
 
-def parse_block(lines: pa.Array) -> pa.Table | None:
-    """The block's four columns if every line of it is sound and unquoted, else None: one columnar parse, no work per line."""
-    if lines.null_count or pc.any(pc.match_substring_regex(lines, r'["\n\x00]|\r.')).as_py():
-        return None
-    even = pc.replace_substring_regex(pc.utf8_trim(lines, " \t\r"), r"[ \t]+", " ")
-    try:
-        got = pacsv.read_csv(io.BytesIO("\n".join(even.to_pylist()).encode()), _READ, _PARSE, _TYPES)
-    except pa.ArrowInvalid:
-        return None
-    sound = got.num_rows == len(lines) and pc.all(pc.match_substring_regex(got["doc_id"], DOC_ID)).as_py() and pc.all(pc.match_substring_regex(got["relevance"], RELEVANCE)).as_py()
-    return got if sound else None
+class Block:
+    """Lines made ready once for columnar parsing of any part of them: evened blanks, and whether a line may be parsed so at all."""
+
+    def __init__(self, lines: pa.Array) -> None:
+        self.lines = lines
+        odd = pc.fill_null(pc.match_substring_regex(lines, r'["\n\x00]|\r.'), True)
+        self.plain = ~odd.to_numpy(zero_copy_only=False)
+        self.even = [x or "" for x in pc.replace_substring_regex(pc.utf8_trim(lines, " \t\r"), r"[ \t]+", " ").to_pylist()]
+
+    def parse(self, start: int, end: int) -> pa.Table | None:
+        """The four columns of the lines if all of them are sound and unquoted, else None: one columnar parse, no work per line."""
+        if not self.plain[start:end].all():
+            return None
+        try:
+            got = pacsv.read_csv(io.BytesIO("\n".join(self.even[start:end]).encode()), _READ, _PARSE, _TYPES)
+        except pa.ArrowInvalid:
+            return None
+        sound = got.num_rows == end - start and pc.all(pc.match_substring_regex(got["doc_id"], DOC_ID)).as_py() and pc.all(pc.match_substring_regex(got["relevance"], RELEVANCE)).as_py()
+        return got if sound else None
 
 
 _FIELD = re.compile(r'[ \t]*(?:"((?:[^"]|"")*)"|([^" \t]+))(?=[ \t]|$)')
@@ -58,25 +68,25 @@ def diagnose(line: str | None) -> tuple[list[str | None], list[str]]:
     return fields, [name for name, rule, x in (("doc_id", _DOC, fields[2]), ("relevance", _REL, fields[3])) if not rule.search(x) or x.endswith("\n")]
 
 
-def _isolate(line_no: pa.Array, lines: pa.Array) -> Iterator[pa.Table]:
-    """Blocks that parse come out whole; a failing one is halved until single lines are left, which are read strictly."""
-    got = parse_block(lines)
+def _isolate(line_no: pa.Array, block: Block, start: int, end: int) -> Iterator[pa.Table]:
+    """Blocks that parse come out whole; a failing one is halved until few lines are left, which are read strictly."""
+    got = block.parse(start, end) if end - start > STRICT_LINES or block.plain[start:end].all() else None
     if got is not None:
-        yield pa.table([line_no, *got.columns, pa.nulls(len(lines), _SCHEMA.field("reasons").type)], schema=_SCHEMA)
-    elif len(lines) <= 8:
-        rows = [diagnose(x) for x in lines.to_pylist()]
-        yield pa.table([line_no, *(pa.array([r[0][i] for r in rows], pa.string()) for i in range(4)), pa.array([r[1] or None for r in rows], _SCHEMA.field("reasons").type)], schema=_SCHEMA)
+        yield pa.table([line_no[start:end], *got.columns, pa.nulls(end - start, _SCHEMA.field("reasons").type)], schema=_SCHEMA)
+    elif end - start <= STRICT_LINES:
+        rows = [diagnose(x) for x in block.lines[start:end].to_pylist()]
+        yield pa.table([line_no[start:end], *(pa.array([r[0][i] for r in rows], pa.string()) for i in range(4)), pa.array([r[1] or None for r in rows], _SCHEMA.field("reasons").type)], schema=_SCHEMA)
     else:
-        half = len(lines) // 2
-        yield from _isolate(line_no[:half], lines[:half])
-        yield from _isolate(line_no[half:], lines[half:])
+        half = (start + end) // 2
+        yield from _isolate(line_no, block, start, half)
+        yield from _isolate(line_no, block, half, end)
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, BLOCK_LINES):
             part = batch.slice(at, BLOCK_LINES)
-            found = pa.concat_tables(_isolate(part.column(0).cast(pa.int64()), part.column(1).cast(pa.string())))
+            found = pa.concat_tables(_isolate(part.column(0).cast(pa.int64()), Block(part.column(1).cast(pa.string())), 0, part.num_rows))
             yield from found.combine_chunks().to_batches()
 
 

@@ -67,10 +67,10 @@ def test_random_lines_against_plain_reading():
 
 def test_blocks_agree_with_single_lines():
     lines = pa.array(SOUND * 3 + list(BAD) + SOUND)
-    got = pa.concat_tables(J._isolate(pa.array(range(len(lines))), lines)).to_pylist()
+    got = pa.concat_tables(J._isolate(pa.array(range(len(lines))), J.Block(lines), 0, len(lines))).to_pylist()
     assert [r["line_no"] for r in got] == list(range(len(lines)))
     assert [r["reasons"] or [] for r in got] == [J.diagnose(x)[1] for x in lines.to_pylist()]
-    assert J.parse_block(pa.array(["T1 0 LA000101-1234 1", "T1\t\t0 LA000101-1234 1 \r"])).num_rows == 2
+    assert J.Block(pa.array(["T1 0 LA000101-1234 1", "T1\t\t0 LA000101-1234 1 \r"])).parse(0, 2).num_rows == 2
 
 
 def test_tables(spark, rows_of):
