@@ -270,25 +270,29 @@ def learned(counts: dict[tuple[str, str], int], swap: str, language: Language, r
     """
     import numpy as np
 
-    letters = sorted({c.lower() for c in language.usual} | {" ", "0"} | {p[0] for p, n in language.pairs.items() if n * 1e5 > language.total} | {flat(g) for pair in counts for x in pair if (g := plain_of(x, swap))})
+    symbols = sorted({s for pair in counts for s in pair})
+    guesses = {x: flat(g) if (g := plain_of(x, swap)) is not None else None for x in symbols}
+    itself = {x for x, g in guesses.items() if g is None and (x.isascii() or x in language.usual)}
+    letters = {g for g in guesses.values() if g is not None} | {flat(x) for x in itself} | {" ", "0"}
+    if any(g is None and x not in itself for x, g in guesses.items()):  # a symbol that no code page answers may be any letter
+        letters |= {c.lower() for c in language.usual} | {p[0] for p, n in language.pairs.items() if n * 1e5 > language.total}
+    letters = sorted(letters)
     place = {c: i for i, c in enumerate(letters)}
     bigrams = np.full((len(letters), len(letters)), 1e-9)
     for p, n in language.pairs.items():
         if len(p) == 2 and p[0] in place and p[1] in place:
             bigrams[place[p[0]], place[p[1]]] += n / language.total
-    symbols = sorted({s for pair in counts for s in pair})
     number = {s: i for i, s in enumerate(symbols)}
     emit = np.zeros((len(symbols), len(letters)))
     for s, i in number.items():
-        guess = plain_of(s, swap)
-        own = flat(s)
-        if guess is None and own in place:
-            emit[i, place[own]] = 1.0
+        guess = guesses[s]
+        if s in itself:
+            emit[i, place[flat(s)]] = 1.0
         else:
             emit[i] += 0.1 / len(letters)
-            if guess is not None and flat(guess) in place:
-                emit[i, place[flat(guess)]] += 0.9
-    fixed = (emit == 1.0).any(axis=1)
+            if guess is not None:
+                emit[i, place[guess]] += 0.9
+    fixed = np.array([x in itself for x in symbols])
     seen = np.zeros((len(symbols), len(symbols)))
     for (a, b), n in counts.items():
         seen[number[a], number[b]] += n
@@ -296,8 +300,10 @@ def learned(counts: dict[tuple[str, str], int], swap: str, language: Language, r
     for _ in range(rounds):
         ratio = seen / np.maximum(emit @ bigrams @ emit.T, 1e-300)
         expected = emit * (ratio @ emit @ bigrams.T + ratio.T @ emit @ bigrams)
-        new = expected / np.maximum(expected.sum(axis=0, keepdims=True), 1e-300)
-        emit = np.where(fixed[:, None], emit, new)
+        new = np.where(fixed[:, None], emit, expected / np.maximum(expected.sum(axis=0, keepdims=True), 1e-300))
+        moved, emit = np.abs(new - emit).max(), new
+        if moved < 1e-3:
+            break
     sure = expected / np.maximum(expected.sum(axis=1, keepdims=True), 1e-300)
     return {s: (letters[int(sure[i].argmax())], float(sure[i].max())) for s, i in number.items() if not fixed[i]}
 

@@ -164,6 +164,11 @@ def garbled(records: DataFrame, models: dict[str, ciphers.Language] | None = Non
     return found.withColumn("row", F.xxhash64("field_name", "rec_key", "text")).join(best.select("row", "source", "swap", "certainty"), ["row", "source"]).select("field_name", "rec_key", "source", "lang", "text", "swap", "certainty")
 
 
+def _tasks(df: DataFrame) -> int:
+    """Tasks for work that is heavy for its bytes."""
+    return 4 * df.sparkSession.sparkContext.defaultParallelism
+
+
 def _symbol_pairs(models: dict[str, tuple]):
     name = uuid.uuid4().hex
 
@@ -192,13 +197,17 @@ def cipher_tables(found: DataFrame, models: dict[str, ciphers.Language]) -> Data
     """
     parts = _parts(models)
     pairs = found.select("source", "lang", "text", "swap").mapInArrow(_symbol_pairs(parts), "source string, lang string, swap string, a string, b string, n bigint")
-    pairs = pairs.groupBy("source", "lang", "swap", "a", "b").agg(F.sum("n").alias("n"))
+    # ciphers of several levels and of double bytes are no tables of symbols: their texts follow the code pages
+    pairs = pairs.where("not swap like '%+%' and not swap like '%gbk%'").groupBy("source", "lang", "swap", "a", "b").agg(F.sum("n").alias("n"))
+    # few rows but much work on each group: a fixed number of partitions, so that they aren't put together by size
+    pairs = pairs.repartition(_tasks(found), "source", "lang", "swap")
+    name = uuid.uuid4().hex
 
     def solve(key: tuple, group):
         import pandas as pd
 
         lang, swap = key[1], key[2]
-        table = ciphers.learned({(a, b): n for a, b, n in zip(group["a"], group["b"], group["n"], strict=True)}, swap, ciphers.Language(*parts[lang]))
+        table = ciphers.learned({(a, b): n for a, b, n in zip(group["a"], group["b"], group["n"], strict=True)}, swap, ciphers.made(name, parts)[lang])
         return pd.DataFrame([(key[0], lang, swap, s, letter, sure) for s, (letter, sure) in sorted(table.items())], columns=["source", "lang", "swap", "symbol", "letter", "certainty"])
 
     return pairs.groupBy("source", "lang", "swap").applyInPandas(solve, "source string, lang string, swap string, symbol string, letter string, certainty double")
@@ -212,6 +221,7 @@ def restored(found: DataFrame, tables: DataFrame, models: dict[str, ciphers.Lang
     parts = _parts(models)
     table = tables.where(F.col("certainty") >= least).groupBy("source", "lang", "swap").agg(F.collect_list(F.struct("symbol", "letter")).alias("entries"))
     rows = found.join(table, ["source", "lang", "swap"], "left").select("field_name", "rec_key", "swap", "lang", "text", F.col("entries.symbol").alias("symbols"), F.col("entries.letter").alias("letters"))
+    rows = rows.repartition(_tasks(found))
 
     name = uuid.uuid4().hex
 
