@@ -28,11 +28,37 @@ class Collection:
     judgments: DataFrame
 
 
+# Language, folder below the document root, extraction rule, encoding and years of the newswire corpora.
+NEWSWIRE = (
+    ("nl", "Dutch_data/algemeen_dagblad", "dutch", "ISO-8859-1", ("2001", "2002", "2003")),
+    ("nl", "Dutch_data/nrc_handelsblad", "dutch", "ISO-8859-1", ("2001", "2002", "2003")),
+    ("it", "Italian_data/la_stampa", "italian_lastampa", "ISO-8859-1", ("2001", "2002", "2003")),
+    ("it", "Italian_data/sda_italian", "italian_sda9495", "ISO-8859-1", ("2001", "2002", "2003")),
+    ("it", "Italian_data/agz95", "italian_sda9495", "ISO-8859-1", ("2003",)),
+    ("fi", "Finnish_data/aamu", "finnish_aamulehti", "ISO-8859-1", ("2002", "2003")),
+    ("en", "English_data/LATimes94", "english_latimes", "ISO-8859-1", ("2000", "2001", "2002", "2003")),
+    ("de", "German_data/der_spiegel", "german_derspiegel", "ISO-8859-1", ("2002", "2003")),
+    ("de", "German_data/fr_rundschau", "german_frrundschau", "ISO-8859-1", ("2002", "2003")),
+    ("de", "German_data/sda_german", "german_sda", "ISO-8859-1", ("2002", "2003")),
+    ("de", "German_data/sda95", "german_sda", "ISO-8859-1", ("2002", "2003")),
+    ("ru", "Russian_data/xml", "russian", "UTF-8", ("2003",)),
+)
+
+
+def newswire_corpora() -> dict[tuple[str, str], list[Corpus]]:
+    """The newswire corpora by language and year; Finnish has a year without any."""
+    found: dict[tuple[str, str], list[Corpus]] = {("fi", "2001"): []}
+    for lang, folder, rule, encoding, years in NEWSWIRE:
+        for year in years:
+            found.setdefault((lang, year), []).append(Corpus(folder, rule, encoding))
+    return found
+
+
 class Catalog:
-    """Corpora by language and year, given by the user; nothing is read before it is asked for."""
+    """Corpora by language and year, the newswire ones unless others are given; nothing is read before it is asked for."""
 
-    def __init__(self, root: str, corpora: dict[tuple[str, str], list[Corpus]]) -> None:
-        self.root, self.corpora = root, corpora
+    def __init__(self, root: str, corpora: dict[tuple[str, str], list[Corpus]] | None = None) -> None:
+        self.root, self.corpora = root, newswire_corpora() if corpora is None else corpora
 
     def documents(self, spark: SparkSession, lang: str, years: str | list[str], body_only: bool = False, only_ids: DataFrame | None = None) -> DataFrame:
         """(doc_id, text) of all corpora of the language in the years; an unknown pair is an error, a pair without corpora is empty."""

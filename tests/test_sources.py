@@ -4,7 +4,7 @@ import json
 from pyspark.sql import functions as F
 
 from babelframe.sources import files, markup, sinks
-from babelframe.sources.catalog import Catalog, Corpus
+from babelframe.sources.catalog import Catalog, Corpus, newswire_corpora
 from babelframe.streaming import row_local
 
 SGML = """<DOC>
@@ -29,6 +29,12 @@ def test_newswire(spark, tmp_path):
     assert catalog.documents(spark, "fi", "2001").count() == 0
 
 
+def test_newswire_corpora():
+    found = newswire_corpora()
+    assert found["fi", "2001"] == [] and len(found["de", "2002"]) == 4 and ("ru", "2002") not in found
+    assert all(c.rule in markup.EXTRACTIONS for corpora in found.values() for c in corpora)
+
+
 def test_every_extraction_rule():
     for name, rule in markup.EXTRACTIONS.items():
         def inside(path, text):
