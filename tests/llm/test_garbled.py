@@ -77,3 +77,10 @@ def test_very_long_text(spark, corpus):
     long = " ".join(texts("fra", 200, 3)) + " " + "écolÃ©e".replace("Ã©e", "e") + " Ã©tÃ©"
     more = spark.createDataFrame([("documents", "long", "FR", "fra", long)], df.schema)
     assert "long" in {r["rec_key"] for r in G.garbled(df.unionByName(more)).collect()}
+
+
+def test_signs_and_layout_are_no_case(spark, corpus):
+    df, _ = corpus
+    rows = [("documents", f"fine{i}", s, lang, t) for i, (s, lang, t) in enumerate([("RU", "rus", "школа 100 € город"), ("RU", "rus", "школа город"), ("RU", "rus", "шко­ла го­род"), ("RU", "rus", "Ёё № 7 — город"), ("FR", "fra", "prеs dе lа ville"), ("FR", "fra", "ｖｉｌｌｅ près")])]
+    found = {r["rec_key"] for r in G.garbled(df.unionByName(spark.createDataFrame(rows, df.schema))).collect()}
+    assert not {k for k in found if k.startswith("fine")}
