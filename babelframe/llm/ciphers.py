@@ -6,6 +6,8 @@ import math
 import re
 from functools import cache
 
+from .glyphs import LATIN_CYRILLIC, LATIN_GREEK
+
 # Code pages that text is read with by mistake, and those it may have been written in.
 READ_AS = ("latin-1", "cp1252", "cp1250", "cp1251", "cp1256", "cp437", "cp850", "cp866", "koi8-r", "iso8859-5", "mac-roman", "mac-cyrillic")
 WRITTEN_IN = ("cp1252", "cp1251", "koi8-r", "cp866", "iso8859-5", "mac-cyrillic", "mac-roman", "cp437", "cp850", "cp1256", "cp1250")
@@ -31,6 +33,12 @@ def high_half(page: str) -> dict[str, int]:
     return table
 
 
+@cache
+def on_any_page() -> set[str]:
+    """All characters of the upper halves."""
+    return {c for page in READ_AS for c in high_half(page)}
+
+
 @cache
 def _sequences(page: str) -> re.Pattern[str]:
     """Characters that are well-formed multi-byte UTF-8 when read as bytes of the page."""
@@ -179,9 +187,17 @@ class Language:
         if len(self.found) > 100_000:
             self.found.clear()
         x = self.found[token] = {}
-        odd = any(c not in self.usual and ord(c) > 127 for c in token) or SIGN_INSIDE.search(token) is not None
-        own = self.score(token) if odd or self.closed else 0.0
-        if odd or self.closed and own < -4.0 * (len(token) + 1):
+        high = {c for c in token if ord(c) > 127}
+        odd = not high <= self.usual or SIGN_INSIDE.search(token) is not None
+        # full-width letters and the like come from no code page; a word of look-alikes is what it looks like
+        readable = high <= on_any_page() or self.gbk
+        alike = False
+        if odd and len(token) > 1:
+            latin = token.translate(LOOKALIKES)
+            alike = latin != token and all(c in self.usual or ord(c) < 128 for c in latin) and self.words.get(word(latin), 0) >= 3
+        closed = self.closed and not odd and ASCII_LETTER.search(token) is None
+        own = self.score(token) if closed or odd and readable and not alike else 0.0
+        if odd and readable and not alike or closed and own < -4.0 * (len(token) + 1):
             forms = self.forms(token)
         elif any(_sequences(page).search(token) for page in READ_AS):
             forms = self.utf8_forms(token)
@@ -219,6 +235,9 @@ def made(name: str, parts: dict[str, tuple]) -> dict[str, Language]:
     return _MADE[name]
 
 
+ASCII_LETTER = re.compile("[A-Za-z]")
+#: Look-alike letters as the Latin letters of their shape.
+LOOKALIKES = str.maketrans(LATIN_CYRILLIC[1] + LATIN_GREEK[1], LATIN_CYRILLIC[0] + LATIN_GREEK[0])
 #: A sign between two letters.
 SIGN_INSIDE = re.compile(r"[^\W\d_][^\w\s\x00-\x7f][^\W\d_]")
 LOST = re.compile("[�\x80-\x9f]")
