@@ -92,3 +92,8 @@ m as (select doc_id, a, case when a <= lag(a) over (partition by doc_id order by
 g as (select doc_id, a, sum(f) over (partition by doc_id order by a) g from m)
 select doc_id, min(a) start_at, max(a) + 260 end_at from g group by doc_id, g""",
 }
+ORACLE["p6_report"] = f"""
+select e.item_id, e.split_name, count(f.doc_id) n_documents from eval_items e left join ({ORACLE["p6_found"]}) f on f.item_id = e.item_id group by 1, 2"""
+ORACLE["p8_amounts"] = f"""
+select doc_id, cast(n as bigint) n_chars, cast(s as bigint) shared_chars, case when n > 0 then round(s::double / n, 6) else 0.0::double end shared_share
+from (select d.doc_id, coalesce(length(any_value(d."text")), 0) n, coalesce(sum(f.end_at - f.start_at), 0) s from documents d left join ({ORACLE["p8_found"]}) f on f.doc_id = d.doc_id group by d.doc_id)"""
