@@ -95,6 +95,26 @@ def _utf8_read_as_gbk(token: str) -> str | None:
     return None if form == token or form.count("�") * 5 > len(form) else form
 
 
+@cache
+def _by_byte(page: str) -> dict[int, str]:
+    return {b: c for c, b in high_half(page).items()}
+
+
+def misread(text: str, written: str, page: str) -> str | None:
+    """What text looks like that was written in one encoding and read in another; None if it can't be written so."""
+    try:
+        if page == "gbk":
+            return text.encode(written).decode("gbk", "replace")
+        if written in ("utf-8", "gbk"):
+            table = _by_byte(page)
+            return "".join(chr(b) if b < 128 else table[b] for b in text.encode(written))
+    except UnicodeEncodeError:
+        return None
+    if not {c for c in text if ord(c) > 127} <= high_half(written).keys():
+        return None
+    return text.translate(one_for_one(written, page))
+
+
 _FLAT = {ord(c): "0" for c in "0123456789"} | {ord(c): "۰" for c in "۰۱۲۳۴۵۶۷۸۹"} | {ord(c): " " for c in "\t\r\n"}
 _ENDS = ".,;:!?()'\"،。，；：！？、"
 
@@ -109,6 +129,90 @@ def word(token: str) -> str:
     return flat(token).strip(_ENDS)
 
 
+#: A wrong decoding is common in a language if so many of its frequent words occur misread too, at such a share of the occurrences.
+#: From the greater share on it changes what pairs of characters are likely.
+COMMON_WORDS, COMMON_SHARE, HEAVY_SHARE = 8, 0.005, 0.03
+#: Frequent words, or pairs of ideographs, that are tried with each wrong decoding.
+_TRIED = 500
+
+
+def _ideograph(c: str) -> bool:
+    return "一" <= c <= "鿿"
+
+
+def without_misread(pairs: dict[str, int], words: dict[str, int], usual: set[str]) -> tuple[dict[str, int], dict[str, int], set[str]]:
+    """Counts of a language less what common wrong decodings added to them, else misread text would be as usual as text read rightly.
+
+    A wrong decoding shows in the vocabulary: frequent words occur misread too, less often than as they are (at any share where letters or
+    ideographs became several signs, which shows the direction). Misread words and characters that hardly any other word has are left out,
+    and pairs if they are many; a few do no harm and keep rare characters from being unheard of. Ideographs have no blanks between words, so
+    their pairs stand for words.
+    """
+    top = sorted((w for w in words if len(w) >= 4 and not w.isascii()), key=lambda w: (-words[w], w))[:_TRIED]
+    gone: dict[str, int] = {}
+    heavy: set[str] = set()
+    for written in ("utf-8", *WRITTEN_IN):
+        for page in READ_AS:
+            seen = [(words[w], n) for w in top if (g := misread(w, written, page)) is not None and (g := word(g)) != w and (n := words.get(g))]
+            right, wrong = sum(x for x, _ in seen), sum(x for _, x in seen)
+            utf8 = written == "utf-8"
+            if len(seen) < COMMON_WORDS or wrong < COMMON_SHARE * (right + wrong) or wrong >= right and not utf8:
+                continue
+            for w, n in words.items():
+                if not w.isascii():
+                    for v in {w, w.capitalize(), w.upper()}:
+                        if not v.isascii() and (form := misread(v, written, page)) not in (None, v) and (g := word(form)) != w and (m := words.get(g)):
+                            if utf8 or m <= 4 * wrong / right * n + 3 and (len(w) >= 4 or 4 * m * right >= wrong * n):
+                                gone[g] = m
+                                if wrong >= HEAVY_SHARE * (right + wrong):
+                                    heavy.add(g)
+    drop: set[str] = set()
+    if gone:
+        bad: dict[str, int] = {}
+        good: dict[str, int] = {}
+        for w, n in words.items():
+            to = bad if w in gone else good
+            for c in w:
+                if ord(c) > 127:
+                    to[c] = to.get(c, 0) + n
+        drop = {c for c, n in bad.items() if good.get(c, 0) < 0.1 * (good.get(c, 0) + n)}
+    wrong_signs: set[str] = set()
+    double = sorted((p for p in pairs if _ideograph(p[0]) and _ideograph(p[-1])), key=lambda p: (-pairs[p], p))
+    if double:
+        total: dict[str, int] = {}
+        for p, n in pairs.items():
+            total[p[0]] = total.get(p[0], 0) + n
+        for written, page in [("utf-8", "gbk"), *(("gbk", page) for page in READ_AS)]:
+
+            def times(p: str) -> tuple[str, int]:
+                form = flat(misread(p, written, page) or "")  # noqa: B023
+                return form, min((pairs.get(a + b, 0) for a, b in zip(form, form[1:])), default=0)
+
+            seen = [(pairs[p], n) for p in double[:_TRIED] if (n := times(p)[1])]
+            right, wrong = sum(x for x, _ in seen), sum(x for _, x in seen)
+            if len(seen) < _TRIED // 10 or wrong < HEAVY_SHARE * (right + wrong) or wrong >= right and page == "gbk":
+                continue
+            bad = {}
+            for p in double:
+                form, n = times(p)
+                if n and (n <= pairs[p] or page != "gbk"):
+                    for c in form:
+                        bad[c] = bad.get(c, 0) + n
+            # signs stay: quotation marks and the like are in text that was read rightly too, and the letters beside them are enough
+            wrong_signs |= {c for c, n in bad.items() if ord(c) > 127 and c.isalpha() and _ideograph(c) == (page == "gbk") and n >= 0.3 * total.get(c, 0)}
+    if not gone and not wrong_signs:
+        return pairs, words, usual
+    left = dict(pairs)
+    for g in heavy:
+        padded = f" {g} "
+        for p in map("".join, zip(padded, padded[1:])):
+            if p in left:
+                left[p] -= gone[g]
+    left = {p: n for p, n in left.items() if n > 0 and wrong_signs.isdisjoint(p)}
+    kept = {w: n for w, n in words.items() if w not in gone and drop.isdisjoint(w)}
+    return left, kept, {c for c in usual if flat(c) not in drop | wrong_signs}
+
+
 class Language:
     """A language as the corpus shows it: bigrams of its characters, counts of its words and its usual characters."""
 
@@ -121,7 +225,7 @@ class Language:
         self.seen: dict[str, float] = {}
         letters = [c for c in usual if c.isalpha() and ord(c) > 127]
         self.written = [w for w in WRITTEN_IN if letters and sum(c in high_half(w) for c in letters) >= 0.8 * len(letters)]
-        self.gbk = any("一" <= c <= "鿿" for c in usual)
+        self.gbk = any(map(_ideograph, usual))
         #: One-for-one ciphers: name, table, and the characters that it turns into letters or usual characters.
         self.maps: list[tuple[str, dict[int, str], set[str]]] = []
         for page in READ_AS:

@@ -80,7 +80,8 @@ _KINDS = "lang string, kind string, s string, n bigint"
 def language_models(records: DataFrame) -> dict[str, ciphers.Language]:
     """Models of all languages of the records (lang, text), from counts over all of them.
 
-    What comes to the driver is bounded by the least shares above, whatever the size of the tables.
+    What comes to the driver is bounded by the least shares above, whatever the size of the tables. Text that was misread in a common way counts
+    in them too and is taken out of the models again.
     """
     counts = stored(records.select("lang", "text").mapInArrow(_counted, _KINDS).groupBy("lang", "kind", "s").agg(F.sum("n").alias("n")))
     texts = {r["lang"]: r["n"] for r in counts.where("kind = 'texts'").collect()}
@@ -101,7 +102,7 @@ def language_models(records: DataFrame) -> dict[str, ciphers.Language]:
         models[r["lang"]][2].add(r["s"])
     for r in rows:
         models[r["lang"]][0 if r["kind"] == "pair" else 1][r["s"]] = r["n"]
-    return {lang: ciphers.Language(*m) for lang, m in models.items()}
+    return {lang: ciphers.Language(*ciphers.without_misread(*m)) for lang, m in models.items()}
 
 
 _GAINS = pa.list_(pa.struct([("swap", pa.string()), ("gain", pa.float64())]))

@@ -84,3 +84,27 @@ def test_signs_and_layout_are_no_case(spark, corpus):
     rows = [("documents", f"fine{i}", s, lang, t) for i, (s, lang, t) in enumerate([("RU", "rus", "школа 100 € город"), ("RU", "rus", "школа город"), ("RU", "rus", "шко­ла го­род"), ("RU", "rus", "Ёё № 7 — город"), ("FR", "fra", "prеs dе lа ville"), ("FR", "fra", "ｖｉｌｌｅ près")])]
     found = {r["rec_key"] for r in G.garbled(df.unionByName(spark.createDataFrame(rows, df.schema))).collect()}
     assert not {k for k in found if k.startswith("fine")}
+
+
+@pytest.mark.parametrize("written,read", [("cp1251", "latin-1"), ("koi8-r", "cp1251"), ("cp1251", "cp437"), ("utf-8", "cp1251")])
+def test_a_third_of_a_language_garbled(spark, written, read):
+    """Wrong decodings of a third of the texts make their characters and words no less wrong."""
+    ok = [("documents", f"{lang}{i}", lang[:2].upper(), lang, t) for lang in WORDS for i, t in enumerate(texts(lang, 120, 21))]
+    bad = [("documents", f"bad{i}", "RU", "rus", t.encode(written).decode(read, "replace")) for i, t in enumerate(texts("rus", 60, 22))]
+    df = spark.createDataFrame(ok + bad, "field_name string, rec_key string, source string, lang string, text string")
+    assert sorted(r["rec_key"] for r in G.garbled(df).collect()) == sorted(b[1] for b in bad)
+
+
+def test_common_misreading_of_ideographs():
+    rng = random.Random(4)
+    signs = [chr(0x4E00 + 7 * i) for i in range(60)]
+    chinese = ["".join(rng.choice(signs) for _ in range(40)) for _ in range(900)]
+    bad = [C.misread(t, "gbk", "latin-1") for t in chinese[:300]]
+    pairs, usual = {}, set()
+    for t in chinese + bad:
+        usual |= set(t)
+        t = C.flat(t)
+        for p in zip(t, t[1:]):
+            pairs["".join(p)] = pairs.get("".join(p), 0) + 1
+    left = C.without_misread(pairs, {}, usual)[2]
+    assert set(signs) <= left and not any(c.isalpha() and ord(c) > 127 and c not in signs for c in left)
