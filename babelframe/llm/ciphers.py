@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from functools import cache
 
 from .glyphs import LATIN_CYRILLIC, LATIN_GREEK
@@ -213,18 +214,48 @@ def without_misread(pairs: dict[str, int], words: dict[str, int], usual: set[str
     return left, kept, {c for c in usual if flat(c) not in drop | wrong_signs}
 
 
+@cache
+def _script(c: str) -> str:
+    return unicodedata.name(c, "").partition(" ")[0]
+
+
+def _by_shape(token: str, swap: str) -> bool:
+    """Whether the form of a token shows misread UTF-8 by itself, whatever the language.
+
+    All characters above ASCII belong to well-formed sequences that stand for letters of one script and hold signs where letters would be:
+    several sequences, or one with a small letter beside it, since capitals are followed by closing quotation marks.
+    """
+    pattern = _sequences(swap.partition("+")[0].removeprefix("utf-8 as "))
+    found = list(pattern.finditer(token))
+    if not pattern.sub("", token).isascii() or not all(_from_utf8(m[0], swap.partition("+")[0].removeprefix("utf-8 as ")) for m in found):
+        return False
+    if "+" not in swap:
+        letters = [c for m in found for c in _from_utf8(m[0], swap.removeprefix("utf-8 as ")) or ""]
+        if not all(map(str.isalpha, letters)) or len({_script(c) for c in letters}) > 1:
+            return False
+    if 2 * sum(any(not c.isalpha() for c in m[0][1:]) for m in found) < len(found):
+        return False
+    beside = (c for m in found for c in (token[m.start() - 1 : m.start()], token[m.end() : m.end() + 1]))
+    return len(found) > 1 or any("a" <= c <= "z" for c in beside if c)
+
+
 class Language:
     """A language as the corpus shows it: bigrams of its characters, counts of its words and its usual characters."""
 
-    def __init__(self, pairs: dict[str, int], words: dict[str, int], usual: set[str]) -> None:
+    def __init__(self, pairs: dict[str, int], words: dict[str, int], usual: set[str], pooled: bool = False) -> None:
         self.pairs, self.words, self.usual = pairs, words, usual
+        #: Stands for languages with too few texts for a model of their own: several scripts, and usual characters of other languages.
+        self.pooled = pooled
         self.first: dict[str, int] = {}
         for pair, n in pairs.items():
             self.first[pair[0]] = self.first.get(pair[0], 0) + n
         self.total = sum(self.first.values()) or 1
         self.seen: dict[str, float] = {}
         letters = [c for c in usual if c.isalpha() and ord(c) > 127]
-        self.written = [w for w in WRITTEN_IN if letters and sum(c in high_half(w) for c in letters) >= 0.8 * len(letters)]
+        scripts: dict[str, list[str]] = {}
+        for c in letters:
+            scripts.setdefault(_script(c) if pooled else "", []).append(c)
+        self.written = [w for w in WRITTEN_IN if any(sum(c in high_half(w) for c in own) >= 0.8 * len(own) for own in scripts.values())]
         self.gbk = any(map(_ideograph, usual))
         #: One-for-one ciphers: name, table, and the characters that it turns into letters or usual characters.
         self.maps: list[tuple[str, dict[int, str], set[str]]] = []
@@ -317,6 +348,8 @@ class Language:
             likely = n >= 3 and n >= (1 if utf8 else 8) * count and entry.strip("0")
             if likely and (utf8 or len(entry) > 1 and all(c.isalpha() or c in self.usual for c in new)):
                 x[name] = max(self.score(form) - own, 0.0) + math.log(n / (count + 1)) + WELL_FORMED * utf8
+            elif self.pooled and name.startswith("utf-8") and not name.endswith("gbk") and _by_shape(token, name):
+                x[name] = max(self.score(form) - own, 0.0) + 4.0 + WELL_FORMED * (1 + sum(len(u) > 1 for u in units(token, name)))
             elif all(c in self.usual for c in new):
                 gone = set(token).difference(form)
                 if not any(c not in self.usual and c not in PLAIN_SIGNS for c in gone) and (utf8 or len(gone) < 3):
@@ -448,7 +481,7 @@ def restore(text: str, language: Language, swap: str, table: dict[str, str]) ->
             return token
         form = language.forms(token).get(swap, token)
         symbols = units(token, swap)
-        if not any(s in table for s in symbols):
+        if language.pooled or not any(s in table for s in symbols):  # letters learned from other languages' bigrams say little
             return form
         own = token.translate({ord(s): letter(s) for s in symbols if s in table or ord(s) > 127}) if all(len(s) == 1 for s in symbols) else "".join(map(letter, symbols))
         return max((form, own), key=lambda f: (language.words.get(word(f), 0), language.score(f)))

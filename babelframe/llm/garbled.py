@@ -19,6 +19,8 @@ USUAL_SHARE, USUAL_IDEOGRAPH_SHARE = 0.03, 0.002
 #: Least shares of a word among a language's words, of a pair among its pairs, and of a language among the texts. They bound the model
 #: that goes to every task: at most their inverses.
 WORD_SHARE, PAIR_SHARE, LANGUAGE_SHARE = 2e-6, 1e-6, 1e-3
+#: Least texts of a language with a model of its own. Rarer languages take the model of all texts together, which has the key POOLED.
+LEAST_TEXTS, POOLED = 100, ""
 #: Rounds of the mixture, share of a swap before the first, and least certainty that a record is garbled.
 ROUNDS, FIRST_SHARE, LEAST_CERTAINTY = 4, 1e-3, 0.05
 _FLUSH = 300_000
@@ -81,14 +83,19 @@ def language_models(records: DataFrame) -> dict[str, ciphers.Language]:
     """Models of all languages of the records (lang, text), from counts over all of them.
 
     What comes to the driver is bounded by the least shares above, whatever the size of the tables. Text that was misread in a common way counts
-    in them too and is taken out of the models again.
+    in them too and is taken out of the models again. Languages with few texts have one model, POOLED, which is that of all texts.
     """
     counts = stored(records.select("lang", "text").mapInArrow(_counted, _KINDS).groupBy("lang", "kind", "s").agg(F.sum("n").alias("n")))
     texts = {r["lang"]: r["n"] for r in counts.where("kind = 'texts'").collect()}
     whole = sum(texts.values())
-    kept = [lang for lang, n in texts.items() if n >= LANGUAGE_SHARE * whole]
-    if not kept:
+    if not whole:
         return {}
+    kept = [lang for lang, n in texts.items() if n >= max(LEAST_TEXTS, LANGUAGE_SHARE * whole)]
+    if len(kept) < len(texts):
+        every = counts.groupBy("kind", "s").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("lang"), "kind", "s", "n")
+        counts = counts.where(F.col("lang").isin(kept)).unionByName(every)
+        kept.append(POOLED)
+        texts[POOLED] = whole
     size = F.create_map(*[x for lang in kept for x in (F.lit(lang), F.lit(texts[lang]))])
     own = counts.where(F.col("lang").isin(kept))
     least = F.when(F.col("s").rlike("[\\u4e00-\\u9fff]"), USUAL_IDEOGRAPH_SHARE).otherwise(USUAL_SHARE)
@@ -102,7 +109,11 @@ def language_models(records: DataFrame) -> dict[str, ciphers.Language]:
         models[r["lang"]][2].add(r["s"])
     for r in rows:
         models[r["lang"]][0 if r["kind"] == "pair" else 1][r["s"]] = r["n"]
-    return {lang: ciphers.Language(*ciphers.without_misread(*m)) for lang, m in models.items()}
+    return {lang: ciphers.Language(*ciphers.without_misread(*m), lang == POOLED) for lang, m in models.items()}
+
+
+def _model(models: dict[str, ciphers.Language], lang: str | None) -> ciphers.Language | None:
+    return models.get(lang) or models.get(POOLED)
 
 
 _GAINS = pa.list_(pa.struct([("swap", pa.string()), ("gain", pa.float64())]))
@@ -117,7 +128,7 @@ def _scored(models: dict[str, tuple]):
         for batch in batches:
             at, found = [], []
             for i, (lang, text) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
-                if not text.isascii() and (x := ciphers.gains(text, own.get(lang, none))):
+                if not text.isascii() and (x := ciphers.gains(text, _model(own, lang) or none)):
                     at.append(i)
                     found.append([{"swap": k, "gain": v} for k, v in x.items()])
             if at:
@@ -128,7 +139,7 @@ def _scored(models: dict[str, tuple]):
 
 
 def _parts(models: dict[str, ciphers.Language]) -> dict[str, tuple]:
-    return {lang: (m.pairs, m.words, m.usual) for lang, m in models.items()}
+    return {lang: (m.pairs, m.words, m.usual, m.pooled) for lang, m in models.items()}
 
 
 def suspects(records: DataFrame, models: dict[str, ciphers.Language]) -> DataFrame:
@@ -178,9 +189,9 @@ def _symbol_pairs(models: dict[str, tuple]):
         counts: Counter = Counter()
         for batch in batches:
             for source, lang, text, swap in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if lang in own and swap != "lost":
+                if (language := _model(own, lang)) and swap != "lost":
                     for token in ciphers.TOKENS.findall(text):
-                        if not token.isascii() and swap in own[lang].swaps(token):
+                        if not token.isascii() and swap in language.swaps(token):
                             symbols = [" ", *ciphers.units(token, swap), " "]
                             counts.update((source, lang, swap, a, b) for a, b in zip(symbols, symbols[1:]))
         rows = [(*k, n) for k, n in counts.items()]
@@ -208,7 +219,7 @@ def cipher_tables(found: DataFrame, models: dict[str, ciphers.Language]) -> Data
         import pandas as pd
 
         lang, swap = key[1], key[2]
-        table = ciphers.learned({(a, b): n for a, b, n in zip(group["a"], group["b"], group["n"], strict=True)}, swap, ciphers.made(name, parts)[lang])
+        table = ciphers.learned({(a, b): n for a, b, n in zip(group["a"], group["b"], group["n"], strict=True)}, swap, _model(ciphers.made(name, parts), lang))
         return pd.DataFrame([(key[0], lang, swap, s, letter, sure) for s, (letter, sure) in sorted(table.items())], columns=["source", "lang", "swap", "symbol", "letter", "certainty"])
 
     return pairs.groupBy("source", "lang", "swap").applyInPandas(solve, "source string, lang string, swap string, symbol string, letter string, certainty double")
@@ -230,7 +241,7 @@ def restored(found: DataFrame, tables: DataFrame, models: dict[str, ciphers.Lang
         own = ciphers.made(name, parts)
         for batch in batches:
             swaps, langs, texts, symbols, letters = (batch.column(i).to_pylist() for i in range(2, 7))
-            out = [t if s == "lost" or lang not in own else ciphers.restore(t, own[lang], s, dict(zip(a or [], b or [], strict=True))) for s, lang, t, a, b in zip(swaps, langs, texts, symbols, letters, strict=True)]
+            out = [t if s == "lost" or not (language := _model(own, lang)) else ciphers.restore(t, language, s, dict(zip(a or [], b or [], strict=True))) for s, lang, t, a, b in zip(swaps, langs, texts, symbols, letters, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.string())], ["field_name", "rec_key", "swap", "restored"])
 
     return rows.mapInArrow(run, "field_name string, rec_key string, swap string, restored string")

@@ -108,3 +108,20 @@ def test_common_misreading_of_ideographs():
             pairs["".join(p)] = pairs.get("".join(p), 0) + 1
     left = C.without_misread(pairs, {}, usual)[2]
     assert set(signs) <= left and not any(c.isalpha() and ord(c) > 127 and c not in signs for c in left)
+
+
+def test_rare_languages(spark, corpus):
+    """A record is found however few texts of its language stand beside it; rare languages read rightly are no case."""
+    df, _ = corpus
+    bad = [("pol", "Zażółć gęślą jaźń proszę państwa", "utf-8", "latin-1"), ("ell", "Καλημέρα κόσμε τι κάνεις", "utf-8", "latin-1"), ("und", "fenêtre après la forêt", "utf-8", "cp1252"), ("por", "uma canção", "utf-8", "latin-1"), ("bul", "школа город книга закон", "cp1251", "latin-1")]
+    fine = [("pol", "Zażółć gęślą jaźń «ŻÓŁĆ» proszę"), ("ukr", "Рік і місто «НАТО» її від неї, ВТБ» її"), ("por", "IRMÃ» AÇÃO” não São MANHÃ” canção"), ("fra2", "CAFÉ» « ÉCOLE » L’ÉTÉ” île"), ("ell", "Καλημέρα κόσμε"), ("ces", "něco žěleznice příliš žluťoučký kůň úpěl"), ("tur", "çağrı şöyle İstanbul ığdır"), ("bul", "ТУФА её ЦЕНА УА школа ФАЦЕ")]
+    rows = [("documents", f"rare{i}", "XX", lang, t.encode(w).decode(r, "replace")) for i, (lang, t, w, r) in enumerate(bad)]
+    rows += [("documents", f"sound{i}", "XX", lang, t) for i, (lang, t) in enumerate(fine)]
+    more = df.unionByName(spark.createDataFrame(rows, df.schema))
+    models = G.language_models(more.where("text is not null"))
+    found = G.garbled(more, models).cache()
+    got = {r["rec_key"] for r in found.collect()}
+    assert {f"rare{i}" for i in range(len(bad))} <= got
+    assert not {k for k in got if k.startswith("sound")}
+    restored = {r["rec_key"]: r["restored"] for r in G.restored(found, G.cipher_tables(found, models), models).collect()}
+    assert [restored[f"rare{i}"] for i in (0, 1, 2)] == [bad[i][1] for i in (0, 1, 2)]
