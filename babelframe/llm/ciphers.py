@@ -214,6 +214,12 @@ def without_misread(pairs: dict[str, int], words: dict[str, int], usual: set[str
     return left, kept, {c for c in usual if flat(c) not in drop | wrong_signs}
 
 
+@cache
+def _silent(c: str) -> bool:
+    """Invisible signs and combining marks that no code page has, which show nothing about the characters beside them."""
+    return unicodedata.category(c) in ("Cf", "Mn") and c not in on_any_page()
+
+
 @cache
 def _script(c: str) -> str:
     return unicodedata.name(c, "").partition(" ")[0]
@@ -292,7 +298,7 @@ class Language:
         """What the token would be under each swap, by the swap's name."""
         found = self.utf8_forms(token)
         high = {c for c in token if ord(c) > 127}
-        odd = high - self.usual
+        odd = {c for c in high - self.usual if not _silent(c)}
         for name, table, sensible in self.maps:
             if odd <= sensible:
                 if high <= sensible:
@@ -324,8 +330,10 @@ class Language:
         x = self.found[token] = {}
         high = {c for c in token if ord(c) > 127}
         odd = not high <= self.usual or SIGN_INSIDE.search(token) is not None
-        # full-width letters and the like come from no code page; a word of look-alikes is what it looks like
-        readable = high <= on_any_page() or self.gbk
+        # full-width letters and the like come from no code page; a word of look-alikes is what it looks like. Usual characters beside unusual
+        # ones may be from anywhere, for the token may be misread in part.
+        unusual = {c for c in high - self.usual if not _silent(c)}
+        readable = (unusual or high) <= on_any_page() or self.gbk
         alike = False
         if odd and len(token) > 1:
             latin = token.translate(LOOKALIKES)

@@ -125,3 +125,18 @@ def test_rare_languages(spark, corpus):
     assert not {k for k in got if k.startswith("sound")}
     restored = {r["rec_key"]: r["restored"] for r in G.restored(found, G.cipher_tables(found, models), models).collect()}
     assert [restored[f"rare{i}"] for i in (0, 1, 2)] == [bad[i][1] for i in (0, 1, 2)]
+
+
+def test_misread_in_part_beside_characters_of_no_page():
+    """Usual characters and invisible signs that no code page has don't keep a token from being looked at."""
+    words = {"سیاسی": 50, "ایران": 80, "école": 60, "église": 40}
+    pairs = {}
+    for w, n in words.items():
+        for p in map("".join, zip(f" {w}", f"{w} ")):
+            pairs[p] = pairs.get(p, 0) + n
+    persian = C.Language(pairs, words, {c for w in words for c in w if ord(c) > 127 and c not in "éè"})
+    assert "ی" not in C.on_any_page()
+    half = "س".encode("cp1256").decode("latin-1") + "ی" + "اسی"
+    assert any(name == "cp1256 as latin-1, in part" for name in persian.swaps(half))
+    french = C.Language(pairs, words, {"é"})
+    assert "\u200bécole" in french.forms("\u200b" + "école".encode("mac-roman").decode("cp1252")).values()
