@@ -181,6 +181,16 @@ def sentence_explode(spark: SparkSession, d: str) -> DataFrame:
     return translation.query_sentences(table(spark, d, "eval_items"), "item_id")
 
 
+@query(f"""with q as (select lang, query_id, coll_year, 'titles' field, titles "text" from process_queries union all select lang, query_id, coll_year, 'descs', descs from process_queries),
+e as (select lang, query_id, coll_year, field, list_filter(string_split(regexp_replace({_clean('"text"')}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: s <> '') s from q)
+select lang, query_id, coll_year, field, cast(generate_subscripts(s, 1) - 1 as int) sent_no, unnest(s) sentence from e""")
+def sentence_explode_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences of all titles and descriptions; sentence_explode has those of the held-out items, whose number is fixed."""
+    q = table(spark, d, "process_queries").select(F.struct("lang", "query_id", "coll_year").alias("key"), F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in ("titles", "descs")])).alias("t"))
+    got = translation.query_sentences(q.select(F.struct("key.*", "t.field").alias("key"), "t.text"), "key")
+    return got.select("query_id.lang", "query_id.query_id", "query_id.coll_year", "query_id.field", "sent_no", "sentence")
+
+
 @query("select doc_id, row_number() over (order by doc_id) - 1 pos, cast((row_number() over (order by doc_id) - 1) % 4 as int) shard from documents")
 def shard_stride(spark: SparkSession, d: str) -> DataFrame:
     return ordering.shard(ordering.numbered(_docs(spark, d).select("doc_id"), ["doc_id"], "pos"), "pos", 4)
