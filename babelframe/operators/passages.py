@@ -68,6 +68,23 @@ def offset_passages(docs: DataFrame, tokenizer: Callable[[], Callable[[str], lis
     return cut.select("doc_id", F.posexplode(pieces).alias("k", "passage"))
 
 
+def passage_numbers(counts: DataFrame) -> DataFrame:
+    """(doc_id, first_idx) of (doc_id, n_passages): the dense number of each document's first passage, in the order of doc_id, which is unique."""
+    return numbered(counts.select("doc_id", "n_passages"), ["doc_id"], "first_idx", weight="n_passages").select("doc_id", "first_idx")
+
+
+def passage_mapping(counts: DataFrame) -> DataFrame:
+    """(passage_idx, original_id) out of (doc_id, n_passages), without making the passages."""
+    first = numbered(counts.select("doc_id", "n_passages"), ["doc_id"], "first_idx", weight="n_passages")
+    k = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_passages") - 1)).alias("k")
+    return first.where("n_passages > 0").select("doc_id", "first_idx", k).select((F.col("first_idx") + F.col("k")).alias("passage_idx"), F.concat_ws("_", "doc_id", "k").alias("original_id"))
+
+
 def numbered_passages(cut: DataFrame) -> DataFrame:
-    """(passage_idx, original_id, doc_id, k, passage): dense numbers in the order of (doc_id, k); original_id is doc_id_k. doc_id must be unique."""
-    return numbered(cut, ["doc_id", "k"], "passage_idx").select("passage_idx", F.concat_ws("_", "doc_id", "k").alias("original_id"), "doc_id", "k", "passage")
+    """(passage_idx, original_id, doc_id, k, passage): dense numbers in the order of (doc_id, k); original_id is doc_id_k. doc_id must be unique.
+
+    Only documents are put in order; passages meet their document's first number by a join.
+    """
+    counts = cut.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_passages"))
+    own = (F.col("first_idx") + F.col("k")).alias("passage_idx")
+    return cut.join(passage_numbers(counts), "doc_id").select(own, F.concat_ws("_", "doc_id", "k").alias("original_id"), "doc_id", "k", "passage")

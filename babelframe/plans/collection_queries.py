@@ -166,7 +166,7 @@ def passage_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {_WINDOWS} select row_number() over (order by doc_id, k) - 1 passage_idx, doc_id || '_' || k original_id from p")
 def passage_mapping(spark: SparkSession, d: str) -> DataFrame:
-    return passages.numbered_passages(passages_ws(spark, d)).select("passage_idx", "original_id")
+    return passages.passage_mapping(passages.passage_counts(_docs(spark, d)))
 
 
 @query(f"select cast(doc_id as varchar) doc_id, {_clean("coalesce(text_kind, '') || ' ' || coalesce(\"text\", '')")} \"text\" from documents where {_clean("coalesce(text_kind, '') || ' ' || coalesce(\"text\", '')")} <> ''")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,20 +30,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: `spark.checkpoint.dir`, or a temporary one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
+    """The folder that all executors share, as `spark.checkpoint.dir` names it.
+
+    Where that is unset, a local session takes a temporary folder (tests); on a cluster it is an error, since a folder of one machine would
+    lose what the others wrote.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="babelframe-")
-        spark.sparkContext.setCheckpointDir(found)
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="babelframe-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
 
 
+_written: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """`df` written as compressed Parquet to the shared folder and read back: its lineage ends there, and a lost executor costs no recomputation."""
+    """`df` written as compressed Parquet to the shared folder and read back: its lineage ends there, and a lost executor costs no recomputation.
+
+    It is written at once, since what is built on it may need its size. It stays until the folder is cleared or the `scratch` around it ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end what `stored` wrote inside it; results must have been written or counted by then."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        for path in _written[before:]:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        del _written[before:]

@@ -1,13 +1,16 @@
 import hashlib
 import json
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
+from babelframe import session
 from babelframe.operators import codeswitch as C
 from babelframe.operators import ordering as O
 from babelframe.operators import retrieval as R
+from babelframe.operators import skew
 from babelframe.operators import topics as Q
 from babelframe.operators import translation as X
 
@@ -138,3 +141,39 @@ def test_plans(spark, tmp_path):
     top = R.top_k(df.selectExpr("query_id qid", "doc_id", "id score"), "qid", 3)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in top
     assert json.dumps(top).count("BatchEvalPython") == 0
+
+
+def test_numbers_over_several_partitions(spark, rows_of):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = [(g, i, (i * 7) % 3, "x") for g in ("a", "b", None, "hot") for i in range(400 if g == "hot" else 3)]
+        df = spark.createDataFrame(rows, "g string, i int, n int, _m string").repartition(5)
+        got = O.per_group_position(df.drop("_m"), "g", ["i"])
+        assert sorted((r["g"] or "", r["i"], r["pos"]) for r in got.collect()) == sorted((g or "", i, i) for g, i, *_ in rows)
+        order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+        want = {(r[0], r[1]): sum(x[2] for x in order[:k]) for k, r in enumerate(order)}
+        assert {(r["g"], r["i"]): r["at"] for r in O.numbered(df.drop("_m"), ["g", "i"], "at", weight="n").collect()} == want
+        assert {(r["g"], r["i"]): r["at"] for r in O.numbered(df.drop("_m"), ["g", "i"], "at").collect()} == {(r[0], r[1]): k for k, r in enumerate(order)}
+        assert O.per_group_position(df.drop("_m").limit(0), "g", ["i"]).count() == 0
+        assert O.numbered(df.drop("_m").limit(0), ["g"], weight="n").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_hot_keys_are_few_and_sliced(spark):
+    df = spark.createDataFrame([(("hot" if i % 3 else f"k{i}"), i) for i in range(3000)], "k string, i int")
+    hot = skew.hot_keys(df, ["k"], 100)
+    assert len(hot) == 1 and 15 <= hot[0][1] <= 25
+    few = df.select("k").distinct().withColumn("v", F.length("k"))
+    got = skew.sliced_join(df, few, ["k"], hot, ["i"])
+    assert got.count() == 3000 and sorted(got.columns) == ["i", "k", "v"]
+    assert skew.sliced(df, ["k"], hot, ["i"]).where("k = 'hot'").select("slice").distinct().count() == hot[0][1]
+    assert skew.hot_keys(df.limit(0), ["k"], 1) == []
+
+
+def test_scratch_removes_what_was_stored(spark):
+    with session.scratch(spark):
+        kept = session.stored(spark.range(5))
+        path = kept.inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path) and kept.count() == 5
+    assert not os.path.exists(os.path.dirname(path))
