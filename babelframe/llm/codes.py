@@ -1,4 +1,4 @@
-"""Texts of an Arrow batch as one array of code points, and hashes over it."""
+"""Texts of an Arrow batch as one array of code points, hashes over it, and sieves of hashes."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Odd multipliers and their inverse for hashes modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
@@ -82,3 +84,49 @@ class RangeHash:
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
+
+
+#: Most bits of a sieve (16 MB), bits for each key below that, and bits that each key sets.
+SIEVE_BITS, KEY_BITS, PROBES = 1 << 27, 32, 4
+
+
+def _probe(keys: np.ndarray, i: int, bits: int) -> np.ndarray:
+    return (mixed(keys ^ np.uint64(BASE * (i + 1) % (1 << 64))) & np.uint64(bits - 1)).astype(np.int64)
+
+
+class Sieve:
+    """A Bloom filter over 64-bit keys: it passes all keys that it was made of, and few others unless it is full."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.words, self.bits = words, len(words) * 64
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        """Positions of the keys that pass."""
+        at = np.arange(len(keys))
+        for i in range(PROBES):
+            p = _probe(keys[at], i, self.bits)
+            at = at[(self.words[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1]
+        return at
+
+
+def sieve(keys: DataFrame, most_bits: int = SIEVE_BITS) -> Sieve:
+    """The sieve of a frame's one bigint column. Its size follows the number of keys up to `most_bits`; beyond that it only passes more."""
+    bits = 64
+    n = keys.count()
+    while bits < min(n * KEY_BITS, most_bits):
+        bits *= 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.zeros(bits // 64, np.uint64)
+        for batch in batches:
+            own = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            for i in range(PROBES):
+                p = _probe(own, i, bits)
+                np.bitwise_or.at(words, p >> 6, np.uint64(1) << (p & 63).astype(np.uint64))
+        at = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at].view(np.int64))], ["word", "value"])
+
+    got = keys.mapInArrow(run, "word bigint, value bigint").groupBy("word").agg(F.bit_or("value").alias("value")).toArrow()
+    words = np.zeros(bits // 64, np.uint64)
+    words[got["word"].to_numpy()] = got["value"].to_numpy().view(np.uint64)
+    return Sieve(words)

@@ -7,17 +7,20 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import hot_keys, sliced_join
+from ..session import stored
 from . import codes as C
 
 #: Words that must come together, and words of a shingle.
 LEAST_WORDS, SHINGLE = 12, 5
 #: Characters of documents searched at once in a task.
 PART_CHARS = 2_000_000
-#: Characters of test items sent to every task; more are joined by signature instead.
-BROADCAST_CHARS = 8_000_000
+#: Runs of documents with one signature from which on they are spread over several tasks.
+HOT_ROWS = 50_000
 
 
 @cache
@@ -80,55 +83,27 @@ def signatures(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return first, (least[0] ^ (least[1] << np.uint64(1)))[first]
 
 
-def _item_runs(items: list[tuple[int, str]]) -> dict[int, tuple[np.ndarray, list[list[tuple[int, tuple[str, ...]]]]]]:
-    """By number of words: the sorted signatures of the items' runs, and for each the items and words."""
-    found: dict[int, dict[int, set[tuple[int, tuple[str, ...]]]]] = {}
-    for item, text in items:
-        words = Words([text])
-        n = min(len(words.hash), LEAST_WORDS)
-        if n:
-            for first, signature in zip(*(x.tolist() for x in signatures(words, n)), strict=True):
-                found.setdefault(n, {}).setdefault(signature, set()).add((item, tuple(words.run(first, n))))
-    return {n: (np.array(sorted(x), np.uint64), [sorted(x[s]) for s in sorted(x)]) for n, x in found.items()}
+def _keys(signature: np.ndarray, n: int) -> np.ndarray:
+    """Signatures of runs of n words as keys of the sieve."""
+    return signature ^ np.uint64(C.BASE * n % (1 << 64))
 
 
-def _contained(words: tuple[str, ...], run: list[str]) -> bool:
-    """Exact containment: every shingle of the item's run stands at its place in the document's run."""
-    return list(words) == run
+def _document_runs(sizes: list[int], sieve: Broadcast):
+    """The runs of documents, as long as some item's, whose signature the sieve passes: (id, n, signature, words), each once per text."""
 
-
-def _search(items: list[tuple[int, str]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = _item_runs(items)
         for batch in batches:
             for part, texts in C.parts(batch, 1, PART_CHARS):
-                words = Words(texts)
-                pairs = set()
-                for n, (known, holders) in runs.items():
-                    first, signature = signatures(words, n)
-                    place = np.minimum(np.searchsorted(known, signature), len(known) - 1)
-                    for i in np.flatnonzero(known[place] == signature).tolist():
-                        own = words.run(int(first[i]), n)
-                        pairs |= {(int(words.text[first[i]]), item) for item, item_words in holders[place[i]] if _contained(item_words, own)}
-                if pairs:
-                    rows, found = zip(*sorted(pairs), strict=True)
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(found, pa.int64())], ["doc_id", "item_id"])
-
-    return run
-
-
-def _all_runs(sizes: list[int]):
-    """Every run of each size: (id, n, signature, words)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, texts in C.parts(batch, 1, PART_CHARS // 20):
                 words = Words(texts)
                 for n in sizes:
                     first, signature = signatures(words, n)
-                    if len(first):
-                        own = [" ".join(words.run(i, n)) for i in first.tolist()]
-                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(words.text[first])), pa.array(np.full(len(first), n, np.int32)), pa.array(signature.view(np.int64)), pa.array(own)], ["id", "n", "signature", "words"])
+                    at = sieve.value.holds(_keys(signature, n))
+                    if len(at):
+                        text = words.text[first[at]]
+                        _, one = np.unique(np.stack([text.astype(np.uint64), signature[at]]), axis=1, return_index=True)
+                        at, text = at[one], text[one]
+                        own = [" ".join(words.run(i, n)) for i in first[at].tolist()]
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text)), pa.array(np.full(len(at), n, np.int32)), pa.array(signature[at].view(np.int64)), pa.array(own)], ["id", "n", "signature", "words"])
 
     return run
 
@@ -147,25 +122,34 @@ def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _RUNS = "id bigint, n int, signature bigint, words string"
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
+def _sieve_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n, signature = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+        yield pa.RecordBatch.from_arrays([pa.array((signature.view(np.uint64) ^ (n.astype(np.uint64) * np.uint64(C.BASE))).view(np.int64))], ["key"])
+
+
+def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", sieve_bits: int = C.SIEVE_BITS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(doc_id, item_id), each once: the document has at least 12 consecutive words of the item, or all of an item with fewer.
 
     A word is a maximal run of letters and digits in lower case. Null and wordless texts and items match nothing; repeated rows of an id
     count together. Items are partitioned by size (1 to 11 words, and 12 or more, of which every run of 12 counts). In each partition, the
     runs of a document that are as long as the item's are found by the MinHash signature of their shingles: at equal size containment 1
-    means equal sets and so equal signatures, and nothing is missed. What is found is verified word by word.
+    means equal sets and so equal signatures, and nothing is missed.
 
-    The items go to every task once their characters are counted and at most `broadcast_chars`; beyond that, runs of items and documents
-    are joined by signature.
+    One plan at any size: only runs of sizes that items have are looked at, and only those whose signature passes a sieve of the items'
+    signatures (at most `sieve_bits`; a full one passes more and misses none) leave the narrow pass over the documents. They are joined with
+    the items' runs by size and signature and verified word by word; signatures with more than `hot_rows` runs are spread over slices.
     """
     docs = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("text is not null and doc_id is not null")
     own = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).alias("text")).where("text is not null and item_id is not null")
-    if (own.agg(F.sum(F.length("text"))).first()[0] or 0) <= broadcast_chars:
-        rows = [(r["item_id"], r["text"]) for r in own.toLocalIterator()]
-        return docs.mapInArrow(_search(rows), "doc_id bigint, item_id bigint").distinct()
-    wanted = own.mapInArrow(_item_rows, _RUNS).distinct().withColumnRenamed("id", "item_id")
-    runs = docs.mapInArrow(_all_runs(list(range(1, LEAST_WORDS + 1))), _RUNS).withColumnRenamed("id", "doc_id")
-    return runs.join(wanted, ["n", "signature", "words"]).select("doc_id", "item_id").distinct()
+    wanted = stored(own.mapInArrow(_item_rows, _RUNS).distinct())
+    sizes = sorted(r["n"] for r in wanted.select("n").distinct().collect())  # at most LEAST_WORDS
+    sieve = C.sieve(wanted.select("n", "signature").distinct().mapInArrow(_sieve_keys, "key bigint"), sieve_bits)
+    runs = stored(docs.mapInArrow(_document_runs(sizes, documents.sparkSession.sparkContext.broadcast(sieve)), _RUNS).withColumnRenamed("id", "doc_id"))
+    hot = hot_keys(runs, ["n", "signature"], hot_rows)
+    met = sliced_join(runs, wanted.select("n", "signature", F.col("words").alias("item_words"), F.col("id").alias("item_id")), ["n", "signature"], hot, ["doc_id"])
+    # exact containment: every shingle of the item's run stands at its place in the document's run
+    return met.where("words = item_words").select("doc_id", "item_id").distinct()
 
 
 def leak_report(found: DataFrame, items: DataFrame) -> DataFrame:

@@ -1,6 +1,9 @@
 import random
 import re
 
+import numpy as np
+
+from babelframe.llm import codes as C
 from babelframe.llm.leaks import leak_report, leaked_items
 
 DOC, ITEM = "doc_id bigint, text string, item_id string, n int", "item_id bigint, split_name string, lang string, text_kind string, text string, doc_id string"
@@ -35,8 +38,8 @@ def test_random_texts_against_brute_force(spark, rows_of):
     texts = [say(rng.randint(0, 120)) for _ in range(150)]
     tests = [say(rng.randint(0, 30)) for _ in range(60)] + [texts[3][:40], "", None]
     wanted = brute(texts, tests)
-    for limit in (10**6, 0):  # sent to every task, and joined by signature
-        assert rows_of(leaked_items(docs(spark, *texts), items(spark, *tests), broadcast_chars=limit)) == wanted
+    for bits, hot in ((1 << 20, 50_000), (64, 20)):  # a sieve that passes little, and a full one with hot signatures
+        assert rows_of(leaked_items(docs(spark, *texts), items(spark, *tests), sieve_bits=bits, hot_rows=hot)) == wanted
     assert len(wanted) > 100
 
 
@@ -54,3 +57,11 @@ def test_edges(spark, rows_of):
 
 def test_words_of_neighbouring_texts_stay_apart(spark, rows_of):
     assert rows_of(leaked_items(docs(spark, "one two", "three four"), items(spark, "two three", "twothree", "three four"))) == [(1, 102)]
+
+
+def test_sieve_passes_its_own_keys_and_few_others(spark):
+    keys = spark.range(0, 40_000, 2)
+    made = C.sieve(keys)
+    assert len(made.holds(np.arange(0, 40_000, 2, dtype=np.uint64))) == 20_000
+    assert len(made.holds(np.arange(1, 40_000, 2, dtype=np.uint64))) < 200
+    assert len(C.sieve(keys.limit(0)).holds(np.arange(100, dtype=np.uint64))) == 0

@@ -54,12 +54,18 @@ def test_random_texts_against_brute_force(spark, rows_of):
         assert rows_of(shared_spans(frame(spark, docs), least=60, shard_chars=2000)) == brute(docs, 60)
 
 
-def test_hot_anchors_take_the_window_path(spark, rows_of):
+def test_crowded_anchors_are_cut_into_shards(spark, rows_of):
     rng = random.Random(1)
     core = "".join(rng.choice("abcdefghij") for _ in range(90))
     docs = [(i, f"{i:05d}" * 12 + core + f"{i * 7:06d}" * 12) for i in range(60)]
-    for limit in (5, 4000):
-        assert rows_of(shared_spans(frame(spark, docs), least=60, shard_segments=limit)) == brute(docs, 60)
+    docs += [(100 + i, f"{i:03d}" * 20 + core[20 * (i % 2) : 70] + "x" * i) for i in range(10)]
+    for limit in (2, 5, 4000):
+        assert rows_of(shared_spans(frame(spark, docs), least=60, shard_segments=limit, hot_rows=10)) == brute(docs, 60)
+
+
+def test_shards_of_random_texts(spark, rows_of):
+    docs = made(7, 60, "ab")
+    assert rows_of(shared_spans(frame(spark, docs), least=60, shard_segments=2)) == brute(docs, 60)
 
 
 def test_repeats_inside_one_document_are_not_shared(spark, rows_of):
