@@ -99,11 +99,10 @@ def _document_runs(sizes: list[int], sieve: Broadcast):
                     first, signature = signatures(words, n)
                     at = sieve.value.holds(_keys(signature, n))
                     if len(at):
-                        text = words.text[first[at]]
-                        _, one = np.unique(np.stack([text.astype(np.uint64), signature[at]]), axis=1, return_index=True)
-                        at, text = at[one], text[one]
-                        own = [" ".join(words.run(i, n)) for i in first[at].tolist()]
-                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text)), pa.array(np.full(len(at), n, np.int32)), pa.array(signature[at].view(np.int64)), pa.array(own)], ["id", "n", "signature", "words"])
+                        # different runs of a text can have one signature, and equal runs come once
+                        found = list(dict.fromkeys((int(words.text[i]), int(x), " ".join(words.run(i, n))) for i, x in zip(first[at].tolist(), signature[at].view(np.int64).tolist(), strict=True)))
+                        text, own_signature, own = zip(*found, strict=True)
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text)), pa.array(np.full(len(own), n, np.int32)), pa.array(own_signature, pa.int64()), pa.array(own)], ["id", "n", "signature", "words"])
 
     return run
 

@@ -65,3 +65,11 @@ def test_sieve_passes_its_own_keys_and_few_others(spark):
     assert len(made.holds(np.arange(0, 40_000, 2, dtype=np.uint64))) == 20_000
     assert len(made.holds(np.arange(1, 40_000, 2, dtype=np.uint64))) < 200
     assert len(C.sieve(keys.limit(0)).holds(np.arange(100, dtype=np.uint64))) == 0
+
+
+def test_runs_of_one_signature_in_one_text(spark, rows_of):
+    # neighbouring runs often share their least shingles
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(40)]
+    tests = [" ".join(t.split()[k : k + n]) for t in texts for k, n in ((10, 7), (11, 9), (12, 10), (20, 12), (21, 30))]
+    assert rows_of(leaked_items(docs(spark, *texts), items(spark, *tests))) == brute(texts, tests)
