@@ -7,7 +7,10 @@ import re
 import unicodedata
 from functools import cache
 
-from .glyphs import LATIN_CYRILLIC, LATIN_GREEK
+import numpy as np
+from pyspark import Broadcast
+
+from .glyphs import LATIN_CYRILLIC, LATIN_GREEK, fold
 
 # Code pages that text is read with by mistake, and those it may have been written in.
 READ_AS = ("latin-1", "cp1252", "cp1250", "cp1251", "cp1256", "cp437", "cp850", "cp866", "koi8-r", "iso8859-5", "mac-roman", "mac-cyrillic")
@@ -120,6 +123,11 @@ _FLAT = {ord(c): "0" for c in "0123456789"} | {ord(c): "۰" for c in "۰۱۲۳۴
 _ENDS = ".,;:!?()'\"،。，；：！？、"
 
 
+def digits(text: str) -> str:
+    """With one digit for all of a kind."""
+    return text.translate(_FLAT)
+
+
 def flat(text: str) -> str:
     """As the language model sees it: lower case, one digit, one blank."""
     return text.lower().translate(_FLAT)
@@ -214,6 +222,40 @@ def without_misread(pairs: dict[str, int], words: dict[str, int], usual: set[str
     return left, kept, {c for c in usual if flat(c) not in drop | wrong_signs}
 
 
+#: Scripts that are written together, and the least share of letters from which on a script is a language's own.
+TOGETHER, OWN_SCRIPT = ("CJK", "HIRAGANA", "KATAKANA", "HANGUL", "BOPOMOFO"), 0.3
+
+
+def of_own_scripts(pairs: dict[str, int], words: dict[str, int], usual: set[str]) -> tuple[dict[str, int], dict[str, int], set[str]]:
+    """Counts of a language less letters of scripts that are not its own and stand beside each other.
+
+    Text misread by a page of another script, listed or not, adds such letters. Letters of another script beside the language's own or ASCII stay.
+    """
+
+    def script(c: str) -> str:
+        name = _script(c)
+        return TOGETHER[0] if name in TOGETHER else name
+
+    mass: dict[str, int] = {}
+    for p, n in pairs.items():
+        if len(p) == 2 and p[0].isalpha():
+            mass[script(p[0])] = mass.get(script(p[0]), 0) + n
+    own = {x for x, n in mass.items() if n >= OWN_SCRIPT * sum(mass.values())}
+    beside: dict[str, list[int]] = {}
+    for p, n in pairs.items():
+        if len(p) == 2 and all(map(str.isalpha, p)):
+            for c, d in (p, p[::-1]):
+                if ord(c) > 127 and script(c) not in own:
+                    x = beside.setdefault(c, [0, 0])
+                    x[0] += n
+                    x[1] += n * (ord(d) > 127 and script(d) not in own)
+    # a rare letter does no harm, and its pairs keep foreign words from being unheard of
+    strange = {c for c, (n, m) in beside.items() if 2 * m > n} & {flat(c) for c in usual}
+    if not strange:
+        return pairs, words, usual
+    return {p: n for p, n in pairs.items() if strange.isdisjoint(p)}, {w: n for w, n in words.items() if strange.isdisjoint(w)}, {c for c in usual if flat(c) not in strange}
+
+
 @cache
 def _silent(c: str) -> bool:
     """Invisible signs and combining marks that no code page has, which show nothing about the characters beside them."""
@@ -273,6 +315,8 @@ class Language:
         #: A swap may turn usual letters into usual letters, so that no character gives it away.
         self.closed = any(sum(t.get(ord(c)) in usual for c in letters) >= 0.5 * len(letters) for _, t, _ in self.maps)
         self.found: dict[str, dict[str, float]] = {}
+        #: Tokens looked at that have unusual characters among their letters, are no word, and that no listed swap explains.
+        self.strange: set[str] = set()
 
     def pair(self, p: str) -> float:
         x = self.seen.get(p)
@@ -327,7 +371,20 @@ class Language:
             return x
         if len(self.found) > 100_000:
             self.found.clear()
-        x = self.found[token] = {}
+            self.strange.clear()
+        x = self.found[token] = self._swaps(token)
+        if not x and self._strange(token):
+            self.strange.add(token)
+        return x
+
+    def _strange(self, token: str) -> bool:
+        inner = token.strip(PUNCTUATION)
+        if len(inner) < 3 or any(map(_ideograph, inner)) or not any(ord(c) > 127 and c not in self.usual and not _silent(c) for c in inner):
+            return False
+        return not any(self.words.get(word(f), 0) >= 3 for f in (inner, fold(inner), inner.translate(LOOKALIKES)))
+
+    def _swaps(self, token: str) -> dict[str, float]:
+        x: dict[str, float] = {}
         high = {c for c in token if ord(c) > 127}
         odd = not high <= self.usual or SIGN_INSIDE.search(token) is not None
         # full-width letters and the like come from no code page; a word of look-alikes is what it looks like. Usual characters beside unusual
@@ -372,17 +429,19 @@ class Language:
 _MADE: dict[str, dict[str, Language]] = {}
 
 
-def made(name: str, parts: dict[str, tuple]) -> dict[str, Language]:
+def made(name: str, sent: Broadcast) -> dict[str, Language]:
     """The languages of a model, made once per worker process, so that what a task found out about a token serves the next one."""
     if name not in _MADE:
         _MADE.clear()
-        _MADE[name] = {lang: Language(*m) for lang, m in parts.items()}
+        _MADE[name] = {lang: Language(*m) for lang, m in sent.value.items()}
     return _MADE[name]
 
 
 ASCII_LETTER = re.compile("[A-Za-z]")
 #: Look-alike letters as the Latin letters of their shape.
 LOOKALIKES = str.maketrans(LATIN_CYRILLIC[1] + LATIN_GREEK[1], LATIN_CYRILLIC[0] + LATIN_GREEK[0])
+#: Signs around words.
+PUNCTUATION = ".,;:!?()[]{}<>'\"«»“”„‘’–—-…·•*/\\|"
 #: A sign between two letters.
 SIGN_INSIDE = re.compile(r"[^\W\d_][^\w\s\x00-\x7f][^\W\d_]")
 LOST = re.compile("[�\x80-\x9f]")
@@ -401,6 +460,11 @@ def gains(text: str, language: Language) -> dict[str, float]:
     return found
 
 
+def strange_tokens(text: str, language: Language) -> list[str]:
+    """The text's tokens that look misread and that no listed swap explains, without signs around them; to be asked after gains()."""
+    return [t.strip(PUNCTUATION) for t in TOKENS.findall(text) if t in language.strange]
+
+
 def units(token: str, swap: str) -> list[str]:
     """The token as symbols of the cipher: characters, or well-formed sequences of them where UTF-8 was misread."""
     last = swap.rpartition("+")[2] if "+" in swap else swap
@@ -426,20 +490,45 @@ def plain_of(symbol: str, swap: str) -> str | None:
     return None if form == symbol else form
 
 
+#: Name of a swap on no list, whose mapping is known only by what was learned.
+UNLISTED = "unlisted"
+#: Starts of the search for an unlisted mapping, besides the one by frequencies alone.
+RESTARTS = 15
+
+
+def _resembling(symbols: list[str], letters: list[str], seen: dict[tuple[str, str], int], language: Language) -> np.ndarray:
+    """How well each letter's frequency, also at the ends of words, fits each symbol's; letters above ASCII only, since code pages agree below."""
+    count, start, end = ({x: 0 for x in symbols} for _ in range(3))
+    for (a, b), n in seen.items():
+        if b in count:
+            count[b] += n
+            start[b] += n * (a == " ")
+        if a in end:
+            end[a] += n * (b == " ")
+    n = np.array([count[x] + 0.5 for x in symbols], float)
+    own = np.array([[start[x] / m, end[x] / m] for x, m in zip(symbols, n, strict=True)])
+    first = np.array([language.first.get(x, 0) + 0.5 for x in letters], float)
+    theirs = np.array([[language.pairs.get(" " + x, 0) / m, language.pairs.get(x + " ", 0) / m] for x, m in zip(letters, first, strict=True)])
+    high = np.array([len(x) == 1 and ord(x) > 127 for x in letters])
+    apart = np.abs(np.log(n / n.sum())[:, None] - np.log(first / max(first[high].sum(), 1))[None, :]) + 4 * np.abs(own[:, None, :] - theirs[None, :, :]).sum(axis=2)
+    return np.where(high[None, :], np.exp(-np.minimum(apart, 30)), 0.0)
+
+
 def learned(counts: dict[tuple[str, str], int], swap: str, language: Language, rounds: int = 30) -> dict[str, tuple[str, float]]:
     """Letter and certainty of each symbol of a cipher, by expectation-maximisation over its pairs of adjacent symbols.
 
     The hidden letters follow the language's bigrams. P(symbol | letter) starts from the code pages of the swap, mixed with an even share for
-    every letter, and is estimated anew from the expected counts in each round. Usual characters that the swap leaves alone stand for themselves.
+    every letter, and is estimated anew from the expected counts in each round. Usual characters that the swap leaves alone stand for
+    themselves. Symbols that no code page answers start from how their frequencies resemble those of letters, several times with some
+    noise, and the most likely outcome counts.
     """
-    import numpy as np
-
     symbols = sorted({s for pair in counts for s in pair})
     guesses = {x: flat(g) if (g := plain_of(x, swap)) is not None else None for x in symbols}
     itself = {x for x, g in guesses.items() if g is None and (x.isascii() or x in language.usual)}
+    free = [x for x, g in guesses.items() if g is None and x not in itself]
     letters = {g for g in guesses.values() if g is not None} | {flat(x) for x in itself} | {" ", "0"}
-    if any(g is None and x not in itself for x, g in guesses.items()):  # a symbol that no code page answers may be any letter
-        letters |= {c.lower() for c in language.usual} | {p[0] for p, n in language.pairs.items() if n * 1e5 > language.total}
+    if free:
+        letters |= {c.lower() for c in language.usual if c.isalpha()} | {p[0] for p, n in language.pairs.items() if n * 1e4 > language.total and ord(p[0]) > 127}
     letters = sorted(letters)
     place = {c: i for i, c in enumerate(letters)}
     bigrams = np.full((len(letters), len(letters)), 1e-9)
@@ -447,31 +536,72 @@ def learned(counts: dict[tuple[str, str], int], swap: str, language: Language, r
         if len(p) == 2 and p[0] in place and p[1] in place:
             bigrams[place[p[0]], place[p[1]]] += n / language.total
     number = {s: i for i, s in enumerate(symbols)}
-    emit = np.zeros((len(symbols), len(letters)))
+    start = np.zeros((len(symbols), len(letters)))
     for s, i in number.items():
-        guess = guesses[s]
         if s in itself:
-            emit[i, place[flat(s)]] = 1.0
-        else:
-            emit[i] += 0.1 / len(letters)
-            if guess is not None:
-                emit[i, place[guess]] += 0.9
+            start[i, place[flat(s)]] = 1.0
+        elif guesses[s] is not None:
+            start[i] += 0.1 / len(letters)
+            start[i, place[guesses[s]]] += 0.9
+    loose = np.array([number[x] for x in free], int)
+    if free:
+        fit = _resembling(free, letters, counts, language)
+        start[loose] = fit / np.maximum(fit.sum(axis=0, keepdims=True), 1e-12) + 1e-6 * (fit > 0)
     fixed = np.array([x in itself for x in symbols])
     seen = np.zeros((len(symbols), len(symbols)))
     for (a, b), n in counts.items():
         seen[number[a], number[b]] += n
-    expected = emit
-    for _ in range(rounds):
-        ratio = seen / np.maximum(emit @ bigrams @ emit.T, 1e-300)
-        expected = emit * (ratio @ emit @ bigrams.T + ratio.T @ emit @ bigrams)
-        new = np.where(fixed[:, None], emit, expected / np.maximum(expected.sum(axis=0, keepdims=True), 1e-300))
-        moved, emit = np.abs(new - emit).max(), new
-        if moved < 1e-3:
-            break
+    shown = seen > 0
+
+    def climb(emit: np.ndarray, rounds: int) -> tuple[float, np.ndarray, np.ndarray]:
+        likely = -np.inf
+        expected = emit
+        for _ in range(rounds):
+            model = np.maximum(emit @ bigrams @ emit.T, 1e-300)
+            now = float((seen[shown] * np.log(model[shown])).sum())
+            ratio = seen / model
+            expected = emit * (ratio @ emit @ bigrams.T + ratio.T @ emit @ bigrams)
+            emit = np.where(fixed[:, None], emit, expected / np.maximum(expected.sum(axis=0, keepdims=True), 1e-300))
+            if now - likely < 1e-6 * abs(now):
+                break
+            likely = now
+        return likely, expected, emit
+
+    best = climb(start, rounds)
+    if len(free) > 3:
+        rng = np.random.default_rng(len(free))
+        for _ in range(RESTARTS):
+            again = start.copy()
+            again[loose] *= np.exp(rng.normal(0, 1.5, again[loose].shape))
+            best = max(best, climb(again, rounds), key=lambda x: x[0])
+        best = climb(best[2], 10 * rounds)
+    expected = best[1]
     sure = expected / np.maximum(expected.sum(axis=1, keepdims=True), 1e-300)
     return {s: (letters[int(sure[i].argmax())], float(sure[i].max())) for s, i in number.items() if not fixed[i]}
 
 
+def capitals(table: dict[str, str], counts: dict[tuple[str, str], int]) -> dict[str, str]:
+    """The table with capitals for symbols that begin words mostly, where a more frequent symbol has the same letter."""
+    n, start = dict.fromkeys(table, 0), dict.fromkeys(table, 0)
+    for (a, b), k in counts.items():
+        if b in n:
+            n[b] += k
+            start[b] += k * (a == " ")
+    most: dict[str, str] = {}
+    for x in sorted(table):
+        if n[x] > n.get(most.get(table[x], ""), -1):
+            most[table[x]] = x
+    return {x: c.upper() if most[c] != x and 2 * start[x] > n[x] else c for x, c in table.items()}
+
+
+def deciphered(token: str, table: dict[int, str], language: Language) -> str | None:
+    """The word that a token is under a learned table; None if that is no word of the language, or looks like the token anyway."""
+    form = token.translate(table)
+    if form == token or len(form) < 4 or language.words.get(word(form), 0) < 3:
+        return None
+    return None if fold(token) == form or flat(token.translate(LOOKALIKES)) == flat(form.translate(LOOKALIKES)) else form
+
+
 def restore(text: str, language: Language, swap: str, table: dict[str, str]) -> str:
     """The text with each token that is likelier under the swap deciphered.
 
@@ -479,6 +609,23 @@ def restore(text: str, language: Language, swap: str, table: dict[str, str]) ->
     yields to the code pages of the swap for a token that they make a more frequent word, or else a likelier one; they also give the case.
     """
 
+    if swap == UNLISTED:
+        whole = str.maketrans(table)
+        language_of = lambda t: language.words.get(word(t), 0)
+
+        def by_table(m: re.Match[str]) -> str:
+            token = m[0]
+            if token.isascii():
+                return token
+            if known := language.swaps(token):
+                return language.forms(token).get(max(known, key=lambda k: (known[k], k)), token)
+            if token not in language.strange and language_of(token) >= 3:
+                return token
+            form = token.translate(whole)
+            return form if language_of(form) > language_of(token) or language.score(form) > language.score(token) else token
+
+        return TOKENS.sub(by_table, text)
+
     def letter(symbol: str) -> str:
         page, own = plain_of(symbol, swap), table.get(symbol)
         return page or symbol if own is None or page is not None and flat(page) == own else own
