@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,30 +17,34 @@ from ..session import stored
 
 #: Buckets of the hash space at each refinement; the finest bucket is 2**-48 of it after three.
 BUCKET_BITS, LEVELS = 16, 3
-#: Pattern of the public byte-level vocabularies, where their package does not give it.
-PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# Fixed value: how the public byte-level vocabularies split text before their merges.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+@dataclass(frozen=True)
+class Tokenizer:
+    """A byte-pair vocabulary: a file of ranks and the pattern that goes with it. Both decide what a token is, so they are given together."""
+
+    path: str
+    pattern: str = PATTERN
 
 
 @cache
-def _encoding(path: str):
+def _encoding(path: str, pattern: str):
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    try:
-        import public_tokenizers
-
-        pattern = public_tokenizers.PATTERN
-    except ImportError:
-        pattern = PATTERN
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_counts(documents: DataFrame, vocabulary: str) -> DataFrame:
-    """(doc_id, source, n_tokens) of each row; a null or empty text has 0 tokens. `vocabulary` is a file of ranks that each executor can read."""
+def token_counts(documents: DataFrame, tokenizer: Tokenizer) -> DataFrame:
+    """(doc_id, source, n_tokens) of each row; a null or empty text has 0 tokens. The driver's vocabulary file is sent to the executors."""
+    documents.sparkSession.sparkContext.addFile(tokenizer.path)
+    name = os.path.basename(tokenizer.path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(vocabulary).encode_ordinary
+        encode = _encoding(SparkFiles.get(name), tokenizer.pattern).encode_ordinary
         for batch in batches:
             n = [len(encode(t)) if t else 0 for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["doc_id", "source", "n_tokens"])
@@ -56,7 +63,8 @@ def mixture_plan(counts: DataFrame, targets: DataFrame, total_tokens: int | None
     The budget of a source is target_share of `total_tokens` (default: the tokens of all records of target sources). Whole uses of all its
     records come first, up to max_repeats; the rest is the records whose hash is below a threshold. The threshold is found in a histogram
     of tokens by source and hash bucket: the bucket in which the running sum passes the budget is cut again into finer buckets, and the
-    others are done. Thresholds grow with the budget, so a smaller mixture is part of a larger one. Nothing is sorted but the buckets.
+    others are done. The finest one, of one record but for equal hashes, is taken if that comes nearer to the budget. Thresholds grow with the
+    budget, so a smaller mixture is part of a larger one. Nothing is sorted but the buckets.
 
     Plan: (source, target_share, max_repeats, available, total, budget, full_uses, threshold). Sources without records have available 0; repeated
     target rows of a source add up their shares and keep the least max_repeats; null sources and null or negative shares are left out.
@@ -83,9 +91,17 @@ def mixture_plan(counts: DataFrame, targets: DataFrame, total_tokens: int | None
         order = Window.partitionBy("source").orderBy("bucket")
         running = buckets.withColumn("upto", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         # the first bucket that no longer fits whole, and the tokens before it
-        cut = running.join(plan.select("source", "rest"), "source").where("upto > rest").groupBy("source").agg(F.min("bucket").alias("bucket"), F.min(F.col("upto") - F.col("tokens")).alias("before"))
-        step = F.shiftleft(F.col("bucket").cast("bigint"), 64 - BUCKET_BITS * (level + 1))
-        plan = stored(plan.join(cut, "source", "left").select("source", "target_share", "max_repeats", "available", "total", "budget", "full_uses", F.when(F.col("bucket").isNotNull(), F.col("rest") - F.col("before")).otherwise(0).alias("rest"), F.when(F.col("bucket").isNotNull(), F.col("threshold").bitwiseOR(step)).otherwise(F.col("threshold")).alias("threshold")))
+        cut = running.join(plan.select("source", "rest"), "source").where("upto > rest").groupBy("source").agg(F.min("bucket").alias("bucket"), F.min(F.col("upto") - F.col("tokens")).alias("before"), F.min_by("tokens", "bucket").alias("tokens"))
+        shift = 64 - BUCKET_BITS * (level + 1)
+        found = F.col("bucket").isNotNull()
+        rest = F.when(found, F.col("rest") - F.col("before")).otherwise(0)
+        threshold = F.when(found, F.col("threshold").bitwiseOR(F.shiftleft(F.col("bucket").cast("bigint"), shift))).otherwise(F.col("threshold"))
+        if level == LEVELS - 1:
+            # the next bucket begins here; after the last one there is none, and all bits are set
+            middle = F.lit((1 << 63) - (1 << shift))
+            above = F.when(threshold == middle, F.lit(-(1 << 63))).otherwise(threshold + F.lit(1 << shift))
+            threshold = F.when(found & (2 * rest >= F.col("tokens")), F.when(above == 0, F.lit(-1)).otherwise(above)).otherwise(threshold)
+        plan = stored(plan.join(cut, "source", "left").select("source", "target_share", "max_repeats", "available", "total", "budget", "full_uses", rest.alias("rest"), threshold.alias("threshold")))
     return plan.drop("rest"), rows
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import stored, table
 from . import garbled, leaks, lookalikes, mixing, spans
 
-#: Where the public tokenizers lie.
-TOKENIZERS = os.environ.get("BABELFRAME_TOKENIZERS", "/opt/tokenizers")
+#: The public vocabulary that counts tokens; the folder is where the public tokenizers lie.
+TOKENIZER = mixing.Tokenizer(os.environ.get("BABELFRAME_TOKENIZERS", "/opt/tokenizers") + "/byte_bpe_multi_50k.tiktoken")
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
@@ -55,7 +55,7 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    counts = stored(mixing.token_counts(table(spark, d, "documents"), f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken"))
+    counts = stored(mixing.token_counts(table(spark, d, "documents"), TOKENIZER))
     plan, rows = mixing.mixture_plan(counts, table(spark, d, "mix_targets"))
     return plan, mixing.mixture(plan, rows)
 
