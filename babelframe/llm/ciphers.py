@@ -305,6 +305,9 @@ class Language:
             scripts.setdefault(_script(c) if pooled else "", []).append(c)
         self.written = [w for w in WRITTEN_IN if any(sum(c in high_half(w) for c in own) >= 0.8 * len(own) for own in scripts.values())]
         self.gbk = any(map(_ideograph, usual))
+        #: Whether it has letters above ASCII, and whether most of its letters are ASCII.
+        self.high = bool(letters)
+        self.latin = 2 * sum(n for c, n in self.first.items() if "a" <= c <= "z") >= sum(n for c, n in self.first.items() if c.isalpha())
         #: One-for-one ciphers: name, table, and the characters that it turns into letters or usual characters.
         self.maps: list[tuple[str, dict[int, str], set[str]]] = []
         for page in READ_AS:
@@ -314,8 +317,10 @@ class Language:
                     self.maps.append((f"{w} as {page}", table, {chr(i) for i, c in table.items() if c.isalpha() or c in usual}))
         #: A swap may turn usual letters into usual letters, so that no character gives it away.
         self.closed = any(sum(t.get(ord(c)) in usual for c in letters) >= 0.5 * len(letters) for _, t, _ in self.maps)
+        #: What was found out about tokens: swaps with their gains, those that show nothing, and those that have unusual characters among
+        #: their letters, are no word, and that no listed swap explains.
         self.found: dict[str, dict[str, float]] = {}
-        #: Tokens looked at that have unusual characters among their letters, are no word, and that no listed swap explains.
+        self.sound: set[str] = set()
         self.strange: set[str] = set()
 
     def pair(self, p: str) -> float:
@@ -366,20 +371,35 @@ class Language:
         where bytes formed valid UTF-8 of usual characters, by much otherwise. A token is looked at if it has an unusual character, a sign
         inside a word or a well-formed byte sequence, or if it is unlikely as a whole and its letters could stand for each other.
         """
+        if token in self.sound:
+            return {}
         x = self.found.get(token)
-        if x is not None:
-            return x
-        if len(self.found) > 100_000:
-            self.found.clear()
-            self.strange.clear()
-        x = self.found[token] = self._swaps(token)
-        if not x and self._strange(token):
-            self.strange.add(token)
+        if x is None:
+            if len(self.found) + len(self.sound) > 200_000:
+                self.found.clear()
+                self.sound.clear()
+                self.strange.clear()
+            x = {} if token.isascii() else self._swaps(token)
+            if x:
+                self.found[token] = x
+            elif self._strange(token):
+                self.found[token] = x
+                self.strange.add(token)
+            else:
+                self.sound.add(token)
         return x
 
     def _strange(self, token: str) -> bool:
+        """Whether the token may belong to a cipher on no list.
+
+        Foldable characters and look-alikes are what they look like. ASCII letters stay what they are on every code page, so beside them
+        nothing can stand for letters of a language that is written without them. Ideographs are no cipher of single symbols.
+        """
         inner = token.strip(PUNCTUATION)
-        if len(inner) < 3 or any(map(_ideograph, inner)) or not any(ord(c) > 127 and c not in self.usual and not _silent(c) for c in inner):
+        if len(inner) < 3 or inner.isascii() or self.gbk or not self.high or not self.latin and ASCII_LETTER.search(inner):
+            return False
+        odd = {c for c in inner if ord(c) > 127 and c not in self.usual and ord(c) not in LOOKALIKES and not _silent(c)}
+        if not odd or any(map(_ideograph, odd)) or all(fold(c) != c for c in odd):
             return False
         return not any(self.words.get(word(f), 0) >= 3 for f in (inner, fold(inner), inner.translate(LOOKALIKES)))
 
@@ -448,21 +468,21 @@ LOST = re.compile("[�\x80-\x9f]")
 TOKENS = re.compile(r"[^ \t\r\n]+")
 
 
-def gains(text: str, language: Language) -> dict[str, float]:
-    """Sum of gains over the text's tokens by swap; `lost` for characters that only a failed decoding leaves."""
+def gains(text: str, language: Language) -> tuple[dict[str, float], list[str]]:
+    """Sum of gains over the text's tokens by swap, `lost` for characters that only a failed decoding leaves; and the strange tokens, without
+    signs around them."""
     found: dict[str, float] = {}
-    for token in TOKENS.findall(text):
-        if not token.isascii():
-            for name, gain in language.swaps(token).items():
-                found[name] = found.get(name, 0.0) + gain
+    strange: list[str] = []
+    sound = language.sound
+    for token in [t for t in TOKENS.findall(text) if t not in sound]:
+        swaps = language.swaps(token)
+        for name, gain in swaps.items():
+            found[name] = found.get(name, 0.0) + gain
+        if not swaps and token in language.strange:
+            strange.append(token.strip(PUNCTUATION))
     if LOST.search(text):
         found["lost"] = 60.0
-    return found
-
-
-def strange_tokens(text: str, language: Language) -> list[str]:
-    """The text's tokens that look misread and that no listed swap explains, without signs around them; to be asked after gains()."""
-    return [t.strip(PUNCTUATION) for t in TOKENS.findall(text) if t in language.strange]
+    return found, strange
 
 
 def units(token: str, swap: str) -> list[str]:
@@ -493,7 +513,9 @@ def plain_of(symbol: str, swap: str) -> str | None:
 #: Name of a swap on no list, whose mapping is known only by what was learned.
 UNLISTED = "unlisted"
 #: Starts of the search for an unlisted mapping, besides the one by frequencies alone.
-RESTARTS = 15
+RESTARTS = 5
+#: Places that a symbol of an unlisted cipher needs to be given a letter.
+LEAST_SEEN = 5
 
 
 def _resembling(symbols: list[str], letters: list[str], seen: dict[tuple[str, str], int], language: Language) -> np.ndarray:
@@ -522,6 +544,12 @@ def learned(counts: dict[tuple[str, str], int], swap: str, language: Language, r
     themselves. Symbols that no code page answers start from how their frequencies resemble those of letters, several times with some
     noise, and the most likely outcome counts.
     """
+    if swap == UNLISTED:
+        places: dict[str, int] = {}
+        for (_, b), n in counts.items():
+            places[b] = places.get(b, 0) + n
+        rare = {x for x, n in places.items() if n < LEAST_SEEN and ord(x) > 127}
+        counts = {p: n for p, n in counts.items() if rare.isdisjoint(p)}
     symbols = sorted({s for pair in counts for s in pair})
     guesses = {x: flat(g) if (g := plain_of(x, swap)) is not None else None for x in symbols}
     itself = {x for x, g in guesses.items() if g is None and (x.isascii() or x in language.usual)}
@@ -562,7 +590,7 @@ def learned(counts: dict[tuple[str, str], int], swap: str, language: Language, r
             ratio = seen / model
             expected = emit * (ratio @ emit @ bigrams.T + ratio.T @ emit @ bigrams)
             emit = np.where(fixed[:, None], emit, expected / np.maximum(expected.sum(axis=0, keepdims=True), 1e-300))
-            if now - likely < 1e-6 * abs(now):
+            if now - likely < 1e-5 * abs(now):
                 break
             likely = now
         return likely, expected, emit

@@ -152,8 +152,7 @@ def _scored(sent: tuple[str, Broadcast]):
             for i, (lang, text) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
                 if not text.isascii():
                     language = _model(own, lang) or _NONE
-                    x = ciphers.gains(text, language)
-                    left = ciphers.strange_tokens(text, language)
+                    x, left = ciphers.gains(text, language)
                     if x or left:
                         at.append(i)
                         found.append([{"swap": k, "gain": v} for k, v in x.items()])
