@@ -42,7 +42,8 @@ def join_tokens(x: Column) -> Column:
 
 def terms(x: Column) -> Column:
     """Runs of letters and digits in lower case, for indexing; null gives none."""
-    return F.filter(F.split(F.lower(F.coalesce(x, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
 
 
 def match_case(replacement: Column, source: Column) -> Column:
