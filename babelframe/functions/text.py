@@ -40,6 +40,36 @@ def join_tokens(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.array_join(x, " "), r" ([.,;:!?)\]}”»%])", "$1"), r"([(\[{“«]) ", "$1")
 
 
+# Where the Penn Treebank conventions part a text, as pattern and replacement, in order.
+TREEBANK = (
+    (r'^"|(?<=[ (\[{<])"', " `` "),
+    (r"\.\.\.", " ... "),
+    (r"[;@#$%&?!\[\](){}<>]|--", " $0 "),
+    (r"[:,](?!\d)", " $0 "),
+    (r"(?<=[^.])(\.)([\])}>\"']*)\s*$", " $1 $2"),
+    (r'"', " '' "),
+    (r"(?i)(?<=\w)('s|'m|'d|'ll|'re|'ve|n't)(?!\w)", " $1"),
+    (r"(?<=\w)'(?= |$)", " '"),
+    (r"(?i)\b(can)(not)\b", "$1 $2"),
+    (r"(?i)\b(gon|wan)(na)\b|\b(got)(ta)\b|\b(gim|lem)(me)\b", "$1$3$5 $2$4$6"),
+)
+
+
+def treebank_tokens(x: Column) -> Column:
+    """Words and signs by the Penn Treebank conventions (quotes as `` and '', contractions apart); null for null. An approximation by rules."""
+    for pattern, new in TREEBANK:
+        x = F.regexp_replace(x, pattern, new)
+    return tokens(x)
+
+
+def join_treebank(x: Column) -> Column:
+    """Treebank tokens as running text: quotes and contractions joined again, no blank before closing and after opening signs."""
+    text = F.regexp_replace(F.regexp_replace(F.array_join(x, " "), "`` ?", '"'), " ?''", '"')
+    text = F.regexp_replace(text, r"(?i) ('s|'m|'d|'ll|'re|'ve|n't)(?!\w)", "$1")
+    text = F.regexp_replace(F.regexp_replace(text, r" (\.\.\.|[.,;:!?)\]}%]|'(?= |$))", "$1"), r"([(\[{$#]) ", "$1")
+    return F.regexp_replace(text, r"(?i)\b(can) (not)\b", "$1$2")
+
+
 def terms(x: Column) -> Column:
     """Runs of letters and digits in lower case, for indexing; null gives none."""
     plain = F.trim(F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), r"[^\p{L}\p{N}]+", " "))

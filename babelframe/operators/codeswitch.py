@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import choice, join_tokens, match_case, strip, tokens, uniform, word_tokens
+from ..functions.text import choice, join_tokens, join_treebank, match_case, strip, tokens, treebank_tokens, uniform, word_tokens
 
 #: How a text becomes tokens and tokens a text.
 TOKENIZERS: dict[str, tuple[Callable[[Column], Column], Callable[[Column], Column]]] = {
     "whitespace": (tokens, lambda x: F.array_join(x, " ")),
     "words": (word_tokens, join_tokens),
+    "treebank": (treebank_tokens, join_treebank),
 }
 
 

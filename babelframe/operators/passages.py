@@ -45,6 +45,19 @@ def regex_offsets(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in re.finditer(r"\S+", text)]
 
 
+def subword_offsets(path: str) -> Callable[[], Callable[[str], list[tuple[int, int]]]]:
+    """Offsets of a public subword tokenizer out of its JSON file, without special tokens; for offset_passages."""
+
+    def make() -> Callable[[str], list[tuple[int, int]]]:
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_file(path)
+        own.encode_special_tokens = True
+        return lambda text: own.encode(text, add_special_tokens=False).offsets
+
+    return make
+
+
 def offset_passages(docs: DataFrame, tokenizer: Callable[[], Callable[[str], list[tuple[int, int]]]] = lambda: regex_offsets, length: int = LENGTH, overlap: int = OVERLAP) -> DataFrame:
     """(doc_id, k, passage) cut from the original text by token offsets, so what stands between tokens stays as it is.
 

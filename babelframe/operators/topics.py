@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import strip, topic_number
 from .ordering import last_wins
 
-#: First and last topic number of each year, for topics without a year of their own and for ranking files.
+# First and last topic number of each year, for topics without a year of their own and for ranking files.
 TOPIC_YEARS = {2000: (0, 40), 2001: (41, 90), 2002: (91, 140), 2003: (141, 200)}
 RANKING_YEARS = {2001: (0, 90), 2002: (91, 140), 2003: (141, 200)}
 
@@ -72,6 +72,11 @@ def aggregated_judgments(qrels: DataFrame, prefix: str | None = None, low: int |
     return pairs
 
 
+def kept_judgments(pairs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Aggregated judgments (qid, doc_id) of the topic numbers that some kept query (qid) has."""
+    return pairs.join(kept.select("qid").distinct(), "qid", "left_semi")
+
+
 def aggregated_queries(queries: DataFrame, judged: DataFrame) -> DataFrame:
     """(lang, qid, title, description): for each language and topic number the queries of the latest year, if `judged` has the number."""
     rows = queries.select("lang", topic_number(F.col("query_id")).alias("qid"), "coll_year", F.coalesce("titles", F.lit("")).alias("title"), F.coalesce("descs", F.lit("")).alias("description")).where("qid is not null and lang is not null")

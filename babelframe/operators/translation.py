@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import sentences, strip
@@ -14,9 +14,13 @@ from ..functions.text import sentences, strip
 BATCH = 128
 
 
-def query_sentences(queries: DataFrame, key: str = "query_id", text: str = "text") -> DataFrame:
-    """(query_id, sent_no, sentence): sentences of each text in order; null and blank texts give none."""
-    return queries.select(F.col(key).alias("query_id"), F.posexplode(sentences(F.col(text))).alias("sent_no", "sentence"))
+def query_sentences(queries: DataFrame, key: str = "query_id", text: str = "text", repair: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(query_id, sent_no, sentence): sentences of each text in order; null and blank texts give none.
+
+    `repair` makes the text right before it is cut, as a column function: for instance a repair of wrong encodings.
+    """
+    whole = F.col(text) if repair is None else repair(F.col(text))
+    return queries.select(F.col(key).alias("query_id"), F.posexplode(sentences(whole)).alias("sent_no", "sentence"))
 
 
 def word_by_word(table: dict[str, str]) -> Callable[[list[str]], list[str]]:

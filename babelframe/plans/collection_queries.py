@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import os
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.languages import LANGUAGES, name_of
 from ..operators import codeswitch, ordering, passages, retrieval, topics, translation
-from ..session import stored, table
+from ..session import shared_dir, stored, table
 from ..sources import files, markup, sinks
 
+#: Where the public tokenizers lie.
+TOKENIZERS = os.environ.get("BABELFRAME_TOKENIZERS", "/opt/tokenizers")
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
@@ -122,8 +127,13 @@ def docs_load(spark: SparkSession, d: str) -> DataFrame:
     return got.select("doc_id", F.col("documents").alias("text"))
 
 
+def _escaped(x: Column) -> Column:
+    """Text as it stands in markup; empty for null."""
+    return F.replace(F.replace(F.replace(F.coalesce(x, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
 def _marked(spark: SparkSession, d: str) -> DataFrame:
-    safe = F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    safe = _escaped(F.col("text"))
     doc = F.concat(F.lit("<DOC>\n<DOCID>"), F.col("doc_id").cast("string"), F.lit("</DOCID>\n<TITLE>"), F.coalesce("text_kind", F.lit("")), F.lit("</TITLE>\n<TEXT>"), safe, F.lit("</TEXT>\n</DOC>\n"))
     return markup.fragments(_docs(spark, d).select(F.col("source").alias("path"), doc.alias("text")), "DOC")
 
@@ -138,6 +148,42 @@ def docs_body_only(spark: SparkSession, d: str) -> DataFrame:
     return markup.documents(_marked(spark, d), "german_derspiegel", body_only=True)
 
 
+#: For each extraction rule, the markup of a document with the title K and the text T.
+_MARKUPS = {
+    "english_gh": "<DOCID>{}</DOCID><HEADLINE>K</HEADLINE><TEXT>T</TEXT>",
+    "english_latimes": "<DOCNO>{}</DOCNO><HEADLINE><P>K</P></HEADLINE><TEXT><P>T</P></TEXT>",
+    "german_derspiegel": "<DOCID>{}</DOCID><TITLE>K</TITLE><TEXT>T</TEXT>",
+    "german_frrundschau": "<DOCID>{}</DOCID><TITLE>K</TITLE><TEXT>T</TEXT>",
+    "german_sda": "<DOCID>{}</DOCID><TX>T</TX><TI>K</TI>",
+    "russian": "<DOCID>{}</DOCID><TEXT>T</TEXT><TITLE>K</TITLE>",
+    "dutch": "<DOCID>{}</DOCID><BODY><TI><P>K</P></TI><TE><P>T</P></TE></BODY>",
+    "italian_lastampa": "<DOCID>{}</DOCID><TITLE>K</TITLE><TEXT>T</TEXT>",
+    "italian_sda9495": "<DOCID>{}</DOCID><TI>K</TI><TX>T</TX>",
+    "finnish_aamulehti": "<DOCID>{}</DOCID><TEXT>T</TEXT>",
+}
+_RULES = list(_MARKUPS)
+_TITLE_LAST = ("german_sda", "russian", "dutch", "italian_lastampa")
+
+
+@query(f"""with r as (select doc_id, coalesce(text_kind, '') k, coalesce("text", '') t, {_RULES}[1 + doc_id % 10] "rule" from documents)
+select "rule", cast(doc_id as varchar) doc_id, {_clean(f"case when rule = 'finnish_aamulehti' then t when rule in {_TITLE_LAST} then t || ' ' || k else k || ' ' || t end")} "text" from r""")
+def extract_files(spark: SparkSession, d: str) -> DataFrame:
+    """The documents written as newswire files, a tenth for each rule, and read from there."""
+    root = f"{shared_dir(spark)}/newswire-{uuid.uuid4().hex}"
+    rule = F.element_at(F.array(*map(F.lit, _RULES)), (F.col("doc_id") % 10 + 1).cast("int"))
+    inside = F.element_at(F.create_map(*[F.lit(x) for pair in _MARKUPS.items() for x in pair]), rule)
+    # the places of id, title and text in the markup, none of which is in what is put there before it
+    marked = F.replace(F.replace(F.replace(inside, F.lit(">K<"), F.concat(F.lit(">"), F.coalesce("text_kind", F.lit("")), F.lit("<"))), F.lit("{}"), F.col("doc_id").cast("string")), F.lit(">T<"), F.concat(F.lit(">"), _escaped(F.col("text")), F.lit("<")))
+    _docs(spark, d).select(rule.alias("rule"), F.concat(F.lit("<DOC>"), marked, F.lit("</DOC>")).alias("value")).write.partitionBy("rule").text(root)
+    got = None
+    for name in _RULES:
+        parts = markup.fragments(markup.read_whole(spark, f"{root}/rule={name}", "UTF-8"), "DOC") if sinks.path_exists(spark, f"{root}/rule={name}") else None
+        if parts is not None:
+            own = markup.documents(parts, name).select(F.lit(name).alias("rule"), "doc_id", "text")
+            got = own if got is None else got.unionByName(own)
+    return spark.createDataFrame([], "rule string, doc_id string, text string") if got is None else got
+
+
 @query("select doc_id, source from documents qualify row_number() over (partition by source order by doc_id) <= 100")
 def docs_limit(spark: SparkSession, d: str) -> DataFrame:
     rows = _docs(spark, d).select(F.col("source").alias("path"), "doc_id")
@@ -159,6 +205,14 @@ def passages_offsets(spark: SparkSession, d: str) -> DataFrame:
     return passages.offset_passages(_docs(spark, d))
 
 
+def passages_subword(spark: SparkSession, d: str) -> DataFrame:
+    """Passages by the tokens of a public subword vocabulary; no SQL knows these."""
+    return passages.offset_passages(_docs(spark, d), passages.subword_offsets(f"{TOKENIZERS}/byte_bpe_50k.json"))
+
+
+QUERIES["passages_subword"] = passages_subword
+
+
 @query(f"with {_WINDOWS} select doc_id, count(*) n_passages from p group by doc_id")
 def passage_counts(spark: SparkSession, d: str) -> DataFrame:
     return passages.passage_counts(_docs(spark, d))
@@ -245,7 +299,7 @@ def judged_query_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {_PAIRS} select qid, doc_id from pairs where starts_with(doc_id, 'LA')")
 def qrels_aggregate(spark: SparkSession, d: str) -> DataFrame:
-    return topics.aggregated_judgments(_qrels(spark, d), "LA", 0, 10**9)
+    return topics.aggregated_judgments(_qrels(spark, d), "LA")
 
 
 @query(f"with {_PAIRS} select qid || chr(9) || '0' || chr(9) || doc_id || chr(9) || '1' as value from pairs")
@@ -271,10 +325,10 @@ def topic_concat(spark: SparkSession, d: str) -> DataFrame:
 _TITLE, _DESC = (_strip(f"regexp_replace(coalesce({c}, ''), '[\\n\\r]', '', 'g')") for c in ("titles", "descs"))
 
 
-@query(f"select try_cast(substr(query_id, 2) as int) qid, {_TITLE} title, {_DESC} description from process_queries where query_id is not null and not regexp_matches(coalesce(titles, '') || coalesce(descs, ''), '<')")
+@query(f"select try_cast(substr(query_id, 2) as int) qid, {_TITLE} title, {_DESC} description from process_queries where query_id is not null")
 def topics_parse(spark: SparkSession, d: str) -> DataFrame:
-    q = table(spark, d, "process_queries").where("query_id is not null and not coalesce(titles, '') || coalesce(descs, '') like '%<%'")
-    part = lambda tag, c: F.concat(F.lit(f"\n<XX-{tag}> "), F.coalesce(c, F.lit("")), F.lit(f" </XX-{tag}>"))
+    q = table(spark, d, "process_queries").where("query_id is not null")
+    part = lambda tag, c: F.concat(F.lit(f"\n<XX-{tag}> "), _escaped(c), F.lit(f" </XX-{tag}>"))
     text = F.concat(F.lit("<top>\n<num> "), "query_id", F.lit(" </num>"), part("title", F.col("titles")), part("desc", F.col("descs")), F.lit("\n</top>"))
     return markup.topics(markup.fragments(q.select(F.col("lang").alias("path"), text.alias("text")), "top"), "XX")
 
@@ -311,15 +365,26 @@ def queries_judged_eng(spark: SparkSession, d: str) -> DataFrame:
     return topics.english_for_targets(_topics(spark, d), _judged(spark, d)).select("target_lang", "topic_id", "title", "description")
 
 
-@query(f"""with {_PAIRS}, q as (select lang, try_cast(substr(query_id, 2) as int) qid, coll_year, coalesce(titles, '') title, coalesce(descs, '') description from process_queries)
-select lang, qid, title, description from (select *, row_number() over (partition by lang, qid order by coll_year desc nulls last, title desc, description desc) r from q where qid is not null and lang is not null) where r = 1 and qid in (select qid from pairs)""")
+_AGGREGATED = """q as (select lang, try_cast(substr(query_id, 2) as int) qid, coll_year, coalesce(titles, '') title, coalesce(descs, '') description from process_queries),
+qa as (select lang, qid, title, description from (select *, row_number() over (partition by lang, qid order by coll_year desc nulls last, title desc, description desc) r from q where qid is not null and lang is not null) where r = 1 and qid in (select qid from pairs where starts_with(doc_id, 'LA')))"""
+
+
+@query(f"with {_PAIRS}, {_AGGREGATED} select qid, doc_id from pairs where starts_with(doc_id, 'LA') and qid in (select qid from qa)")
+def qrels_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Aggregated judgments of the queries that the aggregation keeps."""
+    pairs = topics.aggregated_judgments(_qrels(spark, d), "LA")
+    return topics.kept_judgments(pairs, topics.aggregated_queries(table(spark, d, "process_queries"), pairs))
+
+
+@query(f"with {_PAIRS}, {_AGGREGATED} select lang, qid, title, description from qa")
 def queries_aggregate(spark: SparkSession, d: str) -> DataFrame:
-    return topics.aggregated_queries(table(spark, d, "process_queries"), topics.aggregated_judgments(_qrels(spark, d)))
+    return topics.aggregated_queries(table(spark, d, "process_queries"), topics.aggregated_judgments(_qrels(spark, d), "LA"))
 
 
 # --- lexicon and code-switching -----------------------------------------------------------------------------------------------------------------
 def _entries(spark: SparkSession, d: str) -> DataFrame:
-    """Lexicon entries out of the topics: words at the same place of the English and the German title, the three most frequent per word."""
+    """Lexicon entries out of the topics: words at the same place of the English and the German title; a built lexicon has the three most
+    frequent candidates of a word, the best first."""
     own = stored(_topics(spark, d))
     e = own.where("lang = 'eng'").select("topic_id", T.tokens(F.col("title")).alias("a"))
     g = own.where("lang = 'deu'").select("topic_id", T.tokens(F.col("title")).alias("b"))
@@ -469,6 +534,21 @@ def rerank_corpus(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "load_documents").join(top, "doc_id", "left_semi").select("doc_id", "loaded_at")
 
 
+_LOADED = f"{_TOPICS}, tq as (select topic_id qid, title \"text\" from tl where lang = 'eng'), {_LAST}, lt as (select id doc_id, \"text\" from ld)"
+_TITLE_RUN = f"{_LOADED}, {_bm25('tq', 'lt', 20)}"
+
+
+def _title_run(spark: SparkSession, d: str) -> DataFrame:
+    """BM25 of every English topic title over the loaded documents."""
+    asked = _topics(spark, d).where("lang = 'eng'").select(F.col("topic_id").alias("qid"), F.col("title").alias("text"))
+    return retrieval.bm25(asked, _last(spark, d).select(F.col("id").alias("doc_id"), "text"), 20)
+
+
+@query(f"with {_TITLE_RUN} select qid, doc_id, score, rank from br")
+def bm25_titles(spark: SparkSession, d: str) -> DataFrame:
+    return _title_run(spark, d)
+
+
 _IDEAL = "g as (select qid, sum((pow(2, greatest(coalesce(rel, 0), 0)) - 1) / log2(rank + 1)) dcg from rk join jd using (qid, doc_id) where rank <= 20 group by qid), i as (select qid, sum((pow(2, rel) - 1) / log2(r + 1)) ideal from (select qid, rel, row_number() over (partition by qid order by rel desc, doc_id) r from jd where rel > 0) where r <= 20 group by qid)"
 
 
@@ -478,6 +558,12 @@ def metric_ndcg20(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.ndcg(_run(judged), judged, 20)
 
 
+@query(f"""with {_TITLE_RUN}, {_RUN.partition(', rk as')[0] if ', rk as' in _RUN else _RUN.partition("rk as")[0].rstrip().rstrip(",")}, rk as (select qid, doc_id, rank from br), {_IDEAL} select qid, round(coalesce(dcg, 0) / ideal, 4) ndcg from i left join g using (qid)""")
+def metric_bm25_ndcg20(spark: SparkSession, d: str) -> DataFrame:
+    """The same measure of a retrieval run."""
+    return retrieval.ndcg(_title_run(spark, d), _judgments(spark, d), 20)
+
+
 @query(f"""with {_RUN}, h as (select qid, rank, row_number() over (partition by qid order by rank) c from rk join jd using (qid, doc_id) where rel > 0)
 select qid, round(coalesce(p, 0) / n, 4) ap from (select qid, count(*) n from jd where rel > 0 group by qid) left join (select qid, sum(c::double / rank) p from h group by qid) using (qid)""")
 def metric_map(spark: SparkSession, d: str) -> DataFrame:

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import markup
+from . import campaigns, markup
 from .files import rerank_corpus
 
 
@@ -60,16 +60,23 @@ class Catalog:
     def __init__(self, root: str, corpora: dict[tuple[str, str], list[Corpus]] | None = None) -> None:
         self.root, self.corpora = root, newswire_corpora() if corpora is None else corpora
 
-    def documents(self, spark: SparkSession, lang: str, years: str | list[str], body_only: bool = False, only_ids: DataFrame | None = None) -> DataFrame:
-        """(doc_id, text) of all corpora of the language in the years; an unknown pair is an error, a pair without corpora is empty."""
+    def documents(self, spark: SparkSession, lang: str, years: str | list[str], body_only: bool = False, only_ids: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+        """(doc_id, text) of all corpora of the language in the years; an unknown pair is an error, a pair without corpora is empty.
+
+        With `limit`, of each file the first `limit` documents count, and of the files of a corpus those after which it is reached are not read.
+        """
         got = spark.createDataFrame([], "doc_id string, text string")
         for year in [years] if isinstance(years, str) else years:
+            if (lang, year) not in self.corpora:
+                raise ValueError(f"no collection of {lang} in {year}; there are {sorted(self.corpora)}")
             for c in self.corpora[lang, year]:
                 files = markup.read_whole(spark, f"{self.root}/{c.folder}", c.encoding)
-                got = got.unionByName(markup.documents(markup.fragments(files, "DOC"), c.rule, body_only, only_ids))
+                got = got.unionByName(markup.documents(markup.fragments(files, "DOC"), c.rule, body_only, only_ids, limit))
         return got
 
-    def collection(self, spark: SparkSession, lang: str, year: str, queries: DataFrame, judgments: DataFrame, ranked: DataFrame | None = None, top: int = -1) -> Collection:
-        """The three tables of one language and year; with a ranking and top >= 0, only documents among the first `top` of any query."""
-        only = None if ranked is None or top < 0 else rerank_corpus(ranked, top)
-        return Collection(self.documents(spark, lang, year, only_ids=only), queries, judgments)
+    def collection(self, spark: SparkSession, lang: str, year: str, query_language: str, topics_root: str, judgments_root: str, rankings: str | None = None, top: int = -1) -> Collection:
+        """Documents of a language and year with the topics in a query language and the judgments of the documents' language, read from
+        their folders; with a folder of rankings and top >= 0, only documents among the first `top` of any query of the year."""
+        only = None if rankings is None or top < 0 else rerank_corpus(campaigns.rankings(spark, rankings, year), top)
+        topics = campaigns.queries(spark, topics_root, query_language, year)
+        return Collection(self.documents(spark, lang, year, only_ids=only), topics, campaigns.judgments(spark, judgments_root, lang, year))

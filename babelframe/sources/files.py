@@ -88,9 +88,10 @@ def lexicon_entries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def rankings(rows: DataFrame) -> DataFrame:
-    """(qid, rank, doc_id, score) of ranking files named by query number, `doc_id tab score` in order; rank counts from 0, a missing score is null."""
+    """(qid, rank, doc_id, score) of ranking files named by query number, or lying in a folder qid=number, `doc_id tab score` in order; rank counts from 0, a missing score is null."""
     w = F.split("value", "\t")
-    return rows.select(F.regexp_extract("file_name", r"^(\d+)", 1).try_cast("int").alias("qid"), F.col("line_no").alias("rank"), strip(w[0]).alias("doc_id"), F.get(w, F.lit(1)).try_cast("double").alias("score")).where("qid is not null")
+    qid = F.coalesce(F.regexp_extract("file_path", r"/qid=(\d+)/[^/]*$", 1).try_cast("int"), F.regexp_extract("file_name", r"^(\d+)", 1).try_cast("int"))
+    return rows.select(qid.alias("qid"), F.col("line_no").alias("rank"), strip(w[0]).alias("doc_id"), F.get(w, F.lit(1)).try_cast("double").alias("score")).where("qid is not null")
 
 
 def rerank_corpus(ranked: DataFrame, top: int) -> DataFrame:
@@ -105,6 +106,17 @@ def id_list(rows: DataFrame) -> DataFrame:
     return rows.select(pos.alias("pos"), F.get_json_object("value", "$.id").alias("id"), F.get_json_object("value", "$.md5").alias("md5"))
 
 
+def limited_over_files(rows: DataFrame, limit: int) -> DataFrame:
+    """Rows (path, at, ...) as a reader gets them that takes the first `limit` of each file and stops after the file in which their number
+    reaches `limit`, files in the order of their paths; so they may be more than `limit` in all. Counts are one row per file.
+    """
+    own = limited_per_file(rows, limit)
+    counts = own.groupBy("path").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    read = counts.select("path", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")).where(F.col("_before") < limit).select("path")
+    return own.join(read, "path", "left_semi")
+
+
 def limited_per_file(rows: DataFrame, limit: int, order: str = "at") -> DataFrame:
     """The first `limit` rows of each file; a file is one task's input, so its window is bounded by it."""
     place = F.row_number().over(Window.partitionBy("path").orderBy(order))

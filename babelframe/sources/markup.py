@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, drop_newlines, strip, topic_number
+from .files import limited_over_files
 
 
 def read_whole(spark: SparkSession, path: str, encoding: str = "ISO-8859-1", pattern: str | None = None) -> DataFrame:
@@ -105,25 +106,43 @@ def extract_fields(fragment: str, rule: Extraction, body_only: bool = False) ->
     return own, text(*rule.body) if body_only else " ".join(text(*f) for f in rule.full)
 
 
-def documents(parts: DataFrame, corpus: str, body_only: bool = False, only_ids: DataFrame | None = None) -> DataFrame:
+def documents(parts: DataFrame, corpus: str, body_only: bool = False, only_ids: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """(doc_id, text) of fragments by the corpus' rule; rows without id are dropped, full text is cleaned and body text is not.
 
-    With `only_ids` (doc_id), other documents are dropped; an empty frame drops all of them.
+    With `only_ids` (doc_id), other documents are dropped; an empty frame drops all of them. `limit` is as in limited_over_files.
     """
     rule = EXTRACTIONS[corpus]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([extract_fields(x, rule, body_only) for x in batch["fragment"].dropna()], columns=["doc_id", "text"], dtype=object)
+            batch = batch[batch["fragment"].notna()]
+            found = pd.DataFrame([extract_fields(x, rule, body_only) for x in batch["fragment"]], columns=["doc_id", "text"], dtype=object)
+            yield pd.concat([batch[["path", "at"]].reset_index(drop=True), found], axis=1)
 
-    got = parts.select("fragment").mapInPandas(run, "doc_id string, text string").where("doc_id is not null and text is not null")
+    got = parts.select("path", "at", "fragment").mapInPandas(run, "path string, at int, doc_id string, text string").where("doc_id is not null and text is not null")
     if not body_only:
         got = got.withColumn("text", clean_text(F.col("text")))
-    return got if only_ids is None else got.join(only_ids.select("doc_id"), "doc_id", "left_semi")
+    if only_ids is not None:
+        got = got.join(only_ids.select("doc_id"), "doc_id", "left_semi")
+    if limit is not None:
+        got = limited_over_files(got, limit)
+    return got.select("doc_id", "text")
+
+
+def open_topics(files: DataFrame) -> DataFrame:
+    """(path, at, fragment): what follows each tag <top> up to </top>, the next <top> or the end; for files that leave end tags out."""
+    pieces = F.transform(F.split("text", "(?i)<top>"), lambda x: F.regexp_replace(x, r"(?is)</top>.*", ""))
+    cut = files.select("path", F.posexplode(F.slice(pieces, 2, 2**31 - 1)).alias("at", "fragment"))
+    return cut.where(F.col("fragment").rlike("(?i)<num>"))
 
 
 def _element(fragment: str, tag: str) -> Column:
-    return F.regexp_extract(fragment, rf"(?is)<{tag}>(.*?)(?=</|<[A-Za-z]{{1,2}}-|\z)", 1)
+    """Text of a topic's field up to the next tag of a topic. Signs that stand for no tag belong to it; entities are what they stand for."""
+    ends = r"</|<(?:num|top|[A-Za-z]{1,2}-(?:title|desc|narr))\b|\z"
+    text = F.regexp_extract(fragment, rf"(?is)<{tag}>(.*?)(?={ends})", 1)
+    for name, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("amp", "&")):
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(sign))
+    return text
 
 
 def topics(parts: DataFrame, language: str, with_description: bool = True) -> DataFrame:

@@ -27,10 +27,15 @@ def quoted_lines(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(F.concat_ws("\t", *map(cell, columns)).alias("value"))
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder lies at the path, on any file system that Spark knows."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a finished output lies at the path: its success mark, not its mere folder."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    return path_exists(spark, f"{path}/_SUCCESS")
 
 
 def write_lines(lines: DataFrame, path: str, order: list[str] | None = None, skip_finished: bool = True, line_end: str = "\n") -> bool:
