@@ -7,8 +7,11 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators import codeswitch, ordering, passages, topics, translation
-from .sources import files, markup, sinks
+from .operators import codeswitch, ordering, passages, retrieval, topics, translation
+from .plans import preparation
+from .session import scratch
+from .sources import campaigns, files, markup, sinks
+from .sources.catalog import Catalog
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -41,6 +44,23 @@ def _parser() -> argparse.ArgumentParser:
     c.add_argument("--ids", required=True)
     c.add_argument("--check-hash", action="store_true")
     command("sentences", "queries as one sentence per row")
+    c = command("translate", "queries translated word by word through a lexicon, sentence by sentence")
+    c.add_argument("--lexicon", required=True)
+    for name, text in (("qrels", "judgments of languages and years"), ("queries", "queries of languages and years"), ("aggregate", "queries and judgments of all years together"), ("collection", "documents of languages and years")):
+        c = command(name, text + ", out of the folder of a campaign")
+        c.add_argument("--languages", nargs="+")
+        c.add_argument("--years", nargs="+", choices=campaigns.YEARS)
+        c.add_argument("--preset", choices=sorted(preparation.PRESETS), default="newswire", help="languages and years where none are given")
+        if name == "aggregate":
+            c.add_argument("--judgments", required=True, help="folder of the judgments")
+        if name in ("queries", "aggregate"):
+            c.add_argument("--low-resource", help="folder of topics of languages with few resources")
+            c.add_argument("--no-description", action="store_true")
+    c = command("search", "BM25 ranking of queries (id, text) over documents (id, text), as TREC lines")
+    c.add_argument("--queries", required=True)
+    c.add_argument("--top", type=int, default=100)
+    c = command("evaluate", "measures of a ranking (TREC lines) per query")
+    c.add_argument("--judgments", required=True)
     return p
 
 
@@ -86,6 +106,38 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "sentences":
         rows = translation.query_sentences(texts(), "id", "text")
         write(sinks.tsv_lines(rows, "query_id", "sentence"), a.output)
+    elif a.command == "translate":
+        lexicon = codeswitch.normalized_lexicon(files.lexicon_entries(spark, a.lexicon))
+        # a lexicon is one JSON file, which was read whole
+        known = {r["word"]: r["c"] for r in lexicon.select("word", F.element_at("candidates", 1).alias("c")).toLocalIterator()}
+        done = translation.translated(translation.query_sentences(texts(), "id", "text"), lambda: translation.word_by_word(known))
+        write(sinks.tsv_lines(translation.regrouped(done), "query_id", "text"), a.output)
+    elif a.command in ("qrels", "queries", "aggregate", "collection"):
+        preset, keep = preparation.PRESETS[a.preset], not a.overwrite
+        if a.command == "qrels":
+            got = preparation.judgments_of(spark, a.input, a.languages or preset.judgment_languages, a.years or preset.judgment_years)
+            preparation.write_judgments(got, a.output, keep)
+        elif a.command == "collection":
+            preparation.write_documents(spark, Catalog(a.input), a.languages or preset.document_languages, a.years or preset.document_years, a.output, keep)
+        else:
+            languages = campaigns.registered(a.languages or preset.query_languages)
+            got = preparation.queries_of(spark, a.input, languages, a.years or preset.query_years, not a.no_description, a.low_resource)
+            if a.command == "queries":
+                preparation.write_queries(got, a.output, keep)
+            else:
+                judged = preparation.judgments_of(spark, a.judgments, ["en"], a.years or preset.judgment_years)
+                preparation.write_aggregated(*preparation.aggregated(judged, got, languages), a.output, keep)
+    elif a.command == "search":
+        asked = files.two_columns(spark.read.text(a.queries)).withColumnRenamed("id", "qid")
+        with scratch(spark):
+            run = retrieval.bm25(asked, texts().withColumnRenamed("id", "doc_id"), a.top)
+            write(run.select("qid", "rank", F.concat_ws(" ", "qid", F.lit("Q0"), "doc_id", F.col("rank").cast("string"), F.col("score").cast("string"), F.lit("bm25")).alias("value")), a.output, ["qid", "rank"])
+    elif a.command == "evaluate":
+        run = spark.read.text(a.input).select(F.split("value", r"\s+").alias("w")).select(F.col("w")[0].alias("qid"), F.col("w")[2].alias("doc_id"), F.col("w")[3].cast("int").alias("rank"))
+        judged = spark.read.text(a.judgments).select(F.split("value", r"\s+").alias("w")).select(F.col("w")[0].alias("qid"), F.col("w")[2].alias("doc_id"), F.col("w")[3].cast("int").alias("rel"))
+        judged = judged.groupBy("qid", "doc_id").agg(F.max("rel").alias("rel"))
+        measures = retrieval.ndcg(run, judged).join(retrieval.average_precision(run, judged), "qid").join(retrieval.recall(run, judged), "qid")
+        write(measures.select("qid", sinks.tsv_line("qid", "ndcg", "ap", "recall").alias("value")), a.output, ["qid"])
 
 
 if __name__ == "__main__":

@@ -96,7 +96,8 @@ br as (select qid, doc_id, score, cast(row_number() over (partition by qid order
 
 
 _ITEMS = "items as (select item_id qid, \"text\" from eval_items)"
-_RUN = """jd as (select query_id qid, doc_id, max(try_cast(relevance as int)) rel from qrels where query_id is not null and doc_id is not null and try_cast(relevance as int) is not null group by 1, 2),
+_JUDGMENTS = "jd as (select query_id qid, doc_id, max(try_cast(relevance as int)) rel from qrels where query_id is not null and doc_id is not null and try_cast(relevance as int) is not null group by 1, 2)"
+_RUN = f"""{_JUDGMENTS},
 rk as (select qid, doc_id, rank from (select qid, doc_id, row_number() over (partition by qid order by ('0x' || substr(md5(qid || ':' || doc_id), 1, 8))::bigint desc, doc_id) rank from jd) where rank <= 100)"""
 
 
@@ -558,7 +559,7 @@ def metric_ndcg20(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.ndcg(_run(judged), judged, 20)
 
 
-@query(f"""with {_TITLE_RUN}, {_RUN.partition(', rk as')[0] if ', rk as' in _RUN else _RUN.partition("rk as")[0].rstrip().rstrip(",")}, rk as (select qid, doc_id, rank from br), {_IDEAL} select qid, round(coalesce(dcg, 0) / ideal, 4) ndcg from i left join g using (qid)""")
+@query(f"""with {_TITLE_RUN}, {_JUDGMENTS}, rk as (select qid, doc_id, rank from br), {_IDEAL} select qid, round(coalesce(dcg, 0) / ideal, 4) ndcg from i left join g using (qid)""")
 def metric_bm25_ndcg20(spark: SparkSession, d: str) -> DataFrame:
     """The same measure of a retrieval run."""
     return retrieval.ndcg(_title_run(spark, d), _judgments(spark, d), 20)

@@ -132,7 +132,7 @@ def documents(parts: DataFrame, corpus: str, body_only: bool = False, only_ids:
 def open_topics(files: DataFrame) -> DataFrame:
     """(path, at, fragment): what follows each tag <top> up to </top>, the next <top> or the end; for files that leave end tags out."""
     pieces = F.transform(F.split("text", "(?i)<top>"), lambda x: F.regexp_replace(x, r"(?is)</top>.*", ""))
-    cut = files.select("path", F.posexplode(F.slice(pieces, 2, 2**31 - 1)).alias("at", "fragment"))
+    cut = files.select("path", F.posexplode(F.slice(pieces, 2, 1 << 30)).alias("at", "fragment"))
     return cut.where(F.col("fragment").rlike("(?i)<num>"))
 
 
@@ -151,7 +151,7 @@ def topics(parts: DataFrame, language: str, with_description: bool = True) -> Da
     Line breaks are deleted, nothing put in their place; qid is the number after the id's first character. Text that runs on over lines
     belongs to its field up to the next tag.
     """
-    num = F.regexp_extract("fragment", r"(?is)<num>\s*(\S+)", 1)
+    num = F.regexp_extract("fragment", r"(?is)<num>\s*([^\s<]+)", 1)
     field_of = lambda name: strip(drop_newlines(_element("fragment", f"{language}-{name}")))
     return parts.select(topic_number(num).alias("qid"), field_of("title").alias("title"), (field_of("desc") if with_description else F.lit("")).alias("description"))
 

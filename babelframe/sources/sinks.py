@@ -6,15 +6,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def tsv_line(*columns: str) -> Column:
+    """Columns joined by tabs, line breaks and tabs inside them as blanks; null is empty."""
+    return F.concat_ws("\t", *[F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"[\t\r\n]+", " ") for c in columns])
+
+
 def tsv_lines(df: DataFrame, *columns: str) -> DataFrame:
-    """(value): columns joined by tabs, line breaks and tabs inside them as blanks; null is empty."""
-    return df.select(F.concat_ws("\t", *[F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"[\t\r\n]+", " ") for c in columns]).alias("value"))
+    """(value) with tsv_line."""
+    return df.select(tsv_line(*columns).alias("value"))
 
 
-def trec_lines(df: DataFrame, rel: Column | None = None) -> DataFrame:
-    """(value): lines `query 0 document relevance` joined by tabs; relevance 1 where there is none."""
+def trec_line(rel: Column | None = None) -> Column:
+    """`query 0 document relevance` of (qid, doc_id) joined by tabs; relevance 1 where there is none."""
     r = F.lit(1) if rel is None else F.coalesce(rel, F.lit(1))
-    return df.select(F.concat_ws("\t", F.col("qid").cast("string"), F.lit("0"), "doc_id", r.cast("string")).alias("value"))
+    return F.concat_ws("\t", F.col("qid").cast("string"), F.lit("0"), "doc_id", r.cast("string"))
+
+
+def trec_lines(df: DataFrame, rel: Column | None = None) -> DataFrame:
+    """(value) with trec_line."""
+    return df.select(trec_line(rel).alias("value"))
 
 
 def quoted_lines(df: DataFrame, *columns: str) -> DataFrame:
