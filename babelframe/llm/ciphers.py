@@ -55,6 +55,23 @@ def _sequences(page: str) -> re.Pattern[str]:
     return re.compile(f"{some(0xC2, 0xE0)}{tail}|{some(0xE0, 0xF0)}{tail}{{2}}|{some(0xF0, 0xF5)}{tail}{{3}}")
 
 
+@cache
+def _ends_of_sequences(page: str) -> tuple[frozenset[str], frozenset[str]]:
+    """Characters that begin and that end a well-formed sequence of the page."""
+    by_byte = _by_byte(page)
+    return frozenset(by_byte[i] for i in range(0xC2, 0xF5) if i in by_byte), frozenset(by_byte[i] for i in range(0x80, 0xC0) if i in by_byte)
+
+
+def _pages_of(chars: set[str]) -> list[str]:
+    """Pages in which text of these characters may have well-formed sequences: a quick look before the search."""
+    return [page for page, (first, last) in _ends_of_pages() if not first.isdisjoint(chars) and not last.isdisjoint(chars)]
+
+
+@cache
+def _ends_of_pages() -> list[tuple[str, tuple[frozenset[str], frozenset[str]]]]:
+    return [(page, _ends_of_sequences(page)) for page in READ_AS]
+
+
 def _from_utf8(token: str, page: str) -> str | None:
     table = high_half(page)
 
@@ -123,14 +140,17 @@ _FLAT = {ord(c): "0" for c in "0123456789"} | {ord(c): "۰" for c in "۰۱۲۳۴
 _ENDS = ".,;:!?()'\"،。，；：！？、"
 
 
+_TO_FLATTEN = re.compile("[" + "".join(map(chr, _FLAT)) + "]")
+
+
 def digits(text: str) -> str:
     """With one digit for all of a kind."""
-    return text.translate(_FLAT)
+    return text.translate(_FLAT) if _TO_FLATTEN.search(text) else text
 
 
 def flat(text: str) -> str:
     """As the language model sees it: lower case, one digit, one blank."""
-    return text.lower().translate(_FLAT)
+    return digits(text.lower())
 
 
 def word(token: str) -> str:
@@ -339,8 +359,11 @@ class Language:
         found: dict[str, str] = {}
         level = {"": token}
         for _ in range(DEPTH):
-            level = {f"{name}+utf-8 as {page}" if name else f"utf-8 as {page}": form for name, t in level.items() for page in READ_AS if (form := _from_utf8(t, page))}
+            nexts = {t: [(page, form) for page in _pages_of(set(t)) if (form := _from_utf8(t, page))] for t in set(level.values())}
+            level = {f"{name}+utf-8 as {page}" if name else f"utf-8 as {page}": form for name, t in level.items() for page, form in nexts[t]}
             found |= level
+            if not level:
+                break
         return found
 
     def forms(self, token: str) -> dict[str, str]:
@@ -419,17 +442,22 @@ class Language:
         own = self.score(token) if closed or odd and readable and not alike else 0.0
         if odd and readable and not alike or closed and own < -4.0 * (len(token) + 1):
             forms = self.forms(token)
-        elif any(_sequences(page).search(token) for page in READ_AS):
+        elif any(_sequences(page).search(token) for page in _pages_of(high)):
             forms = self.utf8_forms(token)
             own = self.score(token)
         else:
             return x
         count, old = self.words.get(word(token), 0), set(token)
+        same: dict[str, str] = {}
         for name, form in forms.items():
+            utf8 = "utf-8" in name
+            if not utf8 and (first := same.setdefault(form, name)) != name:  # pages that agree on the token
+                if first in x:
+                    x[name] = x[first]
+                continue
             new = {c for c in form if c not in old}
             entry = word(form)
             n = self.words.get(entry, 0)
-            utf8 = "utf-8" in name
             likely = n >= 3 and n >= (1 if utf8 else 8) * count and entry.strip("0")
             if likely and (utf8 or len(entry) > 1 and all(c.isalpha() or c in self.usual for c in new)):
                 x[name] = max(self.score(form) - own, 0.0) + math.log(n / (count + 1)) + WELL_FORMED * utf8
