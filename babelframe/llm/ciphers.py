@@ -659,7 +659,7 @@ def deciphered(token: str, table: dict[int, str], language: Language) -> str | N
 
 
 def restore(text: str, language: Language, swap: str, table: dict[str, str]) -> str:
-    """The text with each token that is likelier under the swap deciphered.
+    """The text with each token that is likelier under the swap deciphered; where most are, all tokens that are no less likely so.
 
     `table` has the letter learned for each symbol, in lower case. It is applied by str.translate where symbols are single characters, and
     yields to the code pages of the swap for a token that they make a more frequent word, or else a likelier one; they also give the case.
@@ -686,10 +686,21 @@ def restore(text: str, language: Language, swap: str, table: dict[str, str]) ->
         page, own = plain_of(symbol, swap), table.get(symbol)
         return page or symbol if own is None or page is not None and flat(page) == own else own
 
+    written, _, page = swap.partition(" as ")
+    everywhere: dict[int, str] = {}
+    if page in READ_AS and written in WRITTEN_IN:
+        # where most tokens show the swap, the text was misread as a whole, and short words and names without a sign of it were too
+        tokens = [t for t in TOKENS.findall(text) if not t.isascii()]
+        if 2 * sum(swap in language.swaps(t) for t in tokens) > len(tokens):
+            everywhere = one_for_one(page, written)
+
     def one(m: re.Match[str]) -> str:
         token = m[0]
-        if token.isascii() or swap not in language.swaps(token):
+        if token.isascii():
             return token
+        if swap not in language.swaps(token):
+            form = token.translate(everywhere)
+            return form if (language.words.get(word(form), 0), language.score(form)) > (language.words.get(word(token), 0), language.score(token)) else token
         form = language.forms(token).get(swap, token)
         symbols = units(token, swap)
         if language.pooled or not any(s in table for s in symbols):  # letters learned from other languages' bigrams say little
