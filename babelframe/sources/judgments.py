@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 COLUMNS = ("query_id", "iter", "doc_id", "relevance")
 DOC_ID, RELEVANCE = r"^[A-Z]{2}[0-9]{6}-[0-9]{4,}$", r"^(-0*1|-?0+|0*[123])$"
-#: Lines of one first block.
+#: Most lines of one first block.
 BLOCK_LINES = 4096
 #: Lines from which a failing block is no longer halved but read strictly, line by line.
 STRICT_LINES = 16
@@ -82,12 +82,26 @@ def _isolate(line_no: pa.Array, block: Block, start: int, end: int) -> Iterator[
         yield from _isolate(line_no, block, half, end)
 
 
+def _first_size(lines: int, bad: int) -> int:
+    """Lines of the next block before any halving: as many as hold two bad lines at the share seen so far, so that a file of
+    many bad lines isn't parsed at every size, and one of few is parsed in long blocks."""
+    wanted = BLOCK_LINES if not bad else 2 * lines // bad
+    return max(2 * STRICT_LINES, min(BLOCK_LINES, 1 << (max(1, wanted).bit_length() - 1)))
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    lines = bad = 0
     for batch in batches:
-        for at in range(0, batch.num_rows, BLOCK_LINES):
-            part = batch.slice(at, BLOCK_LINES)
-            found = pa.concat_tables(_isolate(part.column(0).cast(pa.int64()), Block(part.column(1).cast(pa.string())), 0, part.num_rows))
-            yield from found.combine_chunks().to_batches()
+        line_no, block = batch.column(0).cast(pa.int64()), Block(batch.column(1).cast(pa.string()))
+        at, found = 0, []
+        while at < batch.num_rows:
+            end = min(batch.num_rows, at + _first_size(lines, bad))
+            parts = list(_isolate(line_no, block, at, end))
+            lines, bad = lines + end - at, bad + sum(len(t) - t["reasons"].null_count for t in parts)
+            found += parts
+            at = end
+        if found:
+            yield from pa.concat_tables(found).combine_chunks().to_batches()
 
 
 def parse_lines(lines: DataFrame, line_no: str = "line_no", raw: str = "raw_line") -> DataFrame:
