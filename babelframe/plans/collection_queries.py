@@ -246,6 +246,17 @@ def sentence_explode_queries(spark: SparkSession, d: str) -> DataFrame:
     return got.select("query_id.lang", "query_id.query_id", "query_id.coll_year", "query_id.field", "sent_no", "sentence")
 
 
+#: The words that the backend of translate_sentences knows.
+_KNOWN_WORDS = {"the": "der", "of": "von", "and": "und", "for": "für", "on": "über", "with": "mit"}
+_TRANSLATED = "case lower(w) " + " ".join(f"when '{a}' then '{b}'" for a, b in _KNOWN_WORDS.items()) + " else w end"
+
+
+@query(f"select *, array_to_string(list_transform(string_split(sentence, ' '), lambda w: {_TRANSLATED}), ' ') translation from ({ORACLE['sentence_explode_queries']})")
+def translate_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """All sentences of titles and descriptions through the translation hook, with a backend that knows a few words."""
+    return translation.translated(sentence_explode_queries(spark, d), lambda: translation.word_by_word(_KNOWN_WORDS))
+
+
 @query("select doc_id, row_number() over (order by doc_id) - 1 pos, cast((row_number() over (order by doc_id) - 1) % 4 as int) shard from documents")
 def shard_stride(spark: SparkSession, d: str) -> DataFrame:
     return ordering.shard(ordering.numbered(_docs(spark, d).select("doc_id"), ["doc_id"], "pos"), "pos", 4)

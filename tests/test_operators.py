@@ -2,6 +2,8 @@ import hashlib
 import json
 import math
 import os
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,6 +99,37 @@ def test_bm25(spark):
     assert R.bm25(spark.createDataFrame(queries, "qid int, text string"), spark.createDataFrame([], "doc_id int, text string")).count() == 0
 
 
+def _scored(docs, queries, k):
+    """All pairs scored one by one, the k best of each query."""
+    sized = [(d, t.split()) for d, t in docs if d is not None and t]
+    n, mean = len(sized), sum(len(w) for _, w in sized) / len(sized)
+    df = Counter(t for _, w in sized for t in set(w))
+    out = []
+    for qid, text in queries:
+        sums = Counter()
+        for d, w in sized:
+            for t in set(text.split()) & set(w):
+                tf = w.count(t)
+                sums[d] += math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * tf / (tf + 0.9 * (0.6 + 0.4 * len(w) / mean))
+        best = sorted((-round(v, 4), d) for d, v in sums.items())[:k]
+        out += [(qid, d, -v, i + 1) for i, (v, d) in enumerate(best)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("k, seed_rows, hot_rows", [(1, 1, 100_000), (3, 0, 100_000), (3, 5, 10), (50, 1, 100_000)])
+def test_bm25_leaves_out_nothing_that_counts(spark, k, seed_rows, hot_rows):
+    draw = random.Random(k)
+    words = [f"w{int(60 * draw.random() ** 3)}" for _ in range(5000)]
+    docs = [(i, " ".join(words[at : at + draw.randrange(1, 40)])) for i, at in enumerate(draw.randrange(4900) for _ in range(150))]
+    docs += [(200 + i, t) for i, (_, t) in enumerate(docs[:20])]  # ties
+    docs += [(5, "w0 w1 w59 w40"), (6, docs[6][1] + " w3 w59")]  # rows that add up
+    queries = [(i, " ".join(draw.choice(words) for _ in range(n))) for i, n in enumerate([1, 2, 3, 8, 30])]
+    d = spark.createDataFrame([*docs, (None, "w0 w50"), (9000, None)], "doc_id int, text string")
+    q = spark.createDataFrame([*queries, (None, "w0"), (77, "")], "qid int, text string")
+    got = R.bm25(q, d, k, hot_rows=hot_rows, seed_rows=seed_rows).select("qid", "doc_id", "score", "rank").collect()
+    assert sorted(map(tuple, got)) == _scored(docs, queries, k)
+
+
 def test_dense(spark):
     v = spark.createDataFrame([(i, [math.cos(i), math.sin(i)]) for i in range(50)] + [(90, None), (91, [0.0, 0.0]), (92, [1.0])], "doc_id bigint, embedding array<double>")
     q = v.where("doc_id in (3, 90, 7)").withColumnRenamed("doc_id", "qid")
