@@ -32,7 +32,7 @@ def tokens(x: Column) -> Column:
 
 def word_tokens(x: Column) -> Column:
     """Words (with inner apostrophes and hyphens) and single signs, in order; null for null."""
-    return F.regexp_extract_all(x, F.lit(r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*|[^\s\p{L}\p{N}]"), 0)
+    return F.regexp_extract_all(x, F.lit(r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]++)*+|[^\s\p{L}\p{N}]"), 0)
 
 
 def join_tokens(x: Column) -> Column:

@@ -185,6 +185,27 @@ def extract_files(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([], "rule string, doc_id string, text string") if got is None else got
 
 
+def _written_lines(spark: SparkSession, lines: DataFrame) -> DataFrame:
+    """The lines (value) written to files in the shared folder and read from there."""
+    root = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    sinks.write_lines(lines, root)
+    return spark.read.text(root)
+
+
+@query(f"select cast(doc_id as varchar) id, coalesce({_clean('text')}, '') \"text\" from documents")
+def docs_tsv_read(spark: SparkSession, d: str) -> DataFrame:
+    """The documents as TSV files, read back."""
+    return files.two_columns(_written_lines(spark, docs_tsv(spark, d)))
+
+
+@query("select cast(doc_id as varchar) id, regexp_replace(coalesce(\"text\", ''), '[\\n\\r]', '', 'g') \"text\" from documents")
+def quoted_tsv_read(spark: SparkSession, d: str) -> DataFrame:
+    """The documents as TSV files with quoted texts, tabs and quotes included, read back."""
+    text = F.replace(T.drop_newlines(F.coalesce("text", F.lit(""))), F.lit('"'), F.lit('""'))
+    lines = _docs(spark, d).select(F.concat(F.col("doc_id").cast("string"), F.lit('\t"'), text, F.lit('"')).alias("value"))
+    return files.quoted_columns(_written_lines(spark, lines)).select(F.col("cols")[0].alias("id"), F.col("cols")[1].alias("text"))
+
+
 @query("select doc_id, source from documents qualify row_number() over (partition by source order by doc_id) <= 100")
 def docs_limit(spark: SparkSession, d: str) -> DataFrame:
     rows = _docs(spark, d).select(F.col("source").alias("path"), "doc_id")

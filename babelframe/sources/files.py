@@ -69,7 +69,8 @@ def two_columns(rows: DataFrame, value: str = "value") -> DataFrame:
 
 def quoted_columns(rows: DataFrame, value: str = "value") -> DataFrame:
     """The rows with `cols`, the tab-separated fields of a line of any width; a quoted field may hold tabs, and two quotes in it mean one. Empty lines go."""
-    raw = F.regexp_extract_all(F.concat(F.lit("\t"), F.col(value)), F.lit(r'\t(?:"(?:[^"]|"")*"(?=\t|$)|[^\t]*)'), 0)
+    # possessive: a group that can give back takes a stack frame for each repetition, and long fields would end the executor
+    raw = F.regexp_extract_all(F.concat(F.lit("\t"), F.col(value)), F.lit(r'\t(?:"(?:[^"]|"")*+"(?=\t|$)|[^\t]*)'), 0)
 
     def plain(x: Column) -> Column:
         field = F.substring(x, 2, 2**31 - 1)

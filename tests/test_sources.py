@@ -3,6 +3,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from babelframe.functions import text as T
 from babelframe.sources import files, markup, sinks
 from babelframe.sources.catalog import Catalog, Corpus, newswire_corpora
 from babelframe.streaming import row_local
@@ -102,6 +103,13 @@ def test_two_columns(spark):
     assert sorted(tuple(r) for r in files.two_columns(df).collect()) == [("1", '"a\tb"'), ("3", "")]
 
 
+def test_long_fields_and_words(spark):
+    n = 100_000
+    got = files.quoted_columns(spark.createDataFrame([('1\t"' + 'a""\t' * n + '"\tz',)], "value string")).first()["cols"]
+    assert got == ["1", 'a"\t' * n, "z"]
+    assert spark.createDataFrame([("a-" * n + "b c",)], "x string").select(T.word_tokens(F.col("x")).alias("w")).first()["w"] == ["a-" * n + "b", "c"]
+
+
 def test_quoted_columns(spark):
     lines = ['a\t"b\tc ""d"""\te', "", "one", '"x', 'a\t"q" y', "\t\t", '""\tz']
     got = [r["cols"] for r in files.quoted_columns(spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, value string")).orderBy("i").collect()]
