@@ -11,7 +11,8 @@ SPACE = r"[\s\x1c-\x1f]"
 
 def strip(x: Column) -> Column:
     """Without white space of any kind at both ends; null stays null."""
-    return F.regexp_replace(x, rf"(?U)^{SPACE}+|{SPACE}+$", "")
+    # only the first of a run of white space is tried, so long runs inside cost no more than others
+    return F.regexp_replace(x, rf"(?U)^{SPACE}+|(?<!{SPACE}){SPACE}++$", "")
 
 
 def clean_text(x: Column) -> Column:

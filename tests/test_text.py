@@ -26,6 +26,12 @@ def column(df, c):
     return [r[0] for r in df.orderBy("i").select(c).collect()]
 
 
+def test_long_runs_of_white_space(spark):
+    long = " a" + " \n" * 200_000 + "b\t " + " " * 1000
+    got = spark.createDataFrame([(long,), (" " * 200_000,)], "x string").select(T.strip(F.col("x"))).collect()
+    assert [r[0] for r in got] == [long.strip(), ""]
+
+
 def test_white_space_as_in_python(df):
     want = texts()
     assert column(df, T.clean_text(F.col("x"))) == [None if t is None else re.sub(r"\s+", " ", t).strip() for t in want]
