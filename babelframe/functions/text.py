@@ -71,9 +71,14 @@ def join_treebank(x: Column) -> Column:
     return F.regexp_replace(text, r"(?i)\b(can) (not)\b", "$1$2")
 
 
+def plain_terms(x: Column) -> Column:
+    """The terms of a text with one blank between them; null gives an empty text."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+
+
 def terms(x: Column) -> Column:
     """Runs of letters and digits in lower case, for indexing; null gives none."""
-    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+    plain = plain_terms(x)
     return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
 
 

@@ -130,6 +130,32 @@ def test_bm25_leaves_out_nothing_that_counts(spark, k, seed_rows, hot_rows):
     assert sorted(map(tuple, got)) == _scored(docs, queries, k)
 
 
+def test_bm25_never_stores_pairs(spark):
+    def moved():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+    draw = random.Random(7)
+    texts = [(i, " ".join(f"w{draw.randrange(30)}" for _ in range(12))) for i in range(4000)]
+    d, q = (spark.createDataFrame(rows, "id bigint, text string").cache() for rows in (texts, texts[:400]))
+    assert (d.count(), q.count()) == (4000, 400)
+    before = moved()
+    got = R.bm25(q.withColumnRenamed("id", "qid"), d.withColumnRenamed("id", "doc_id"), 3).select("qid", "doc_id", "score", "rank").collect()
+    assert moved() - before < 500_000  # nearly all 1,600,000 pairs share a term
+    assert sorted(map(tuple, got)) == _scored(texts, texts[:400], 3)
+
+
+def test_bm25_in_several_passes(spark, monkeypatch):
+    monkeypatch.setattr(R, "FLOOR_ROWS", 4)
+    docs = [(f"d{i}", f"a{i % 3} b{i % 5} c") for i in range(40)] + [("d1", "c b1"), ("d2", "c b2 c c")]
+    queries = [(f"q{i}", f"a{i % 4} c b{i}") for i in range(7)]
+    d, q = spark.createDataFrame(docs, "doc_id string, text string"), spark.createDataFrame(queries, "qid string, text string")
+    got = R.bm25(q, d, 2, hot_rows=7).select("qid", "doc_id", "score", "rank").collect()
+    assert sorted(map(tuple, got)) == _scored(docs, queries, 2)
+    assert R.bm25(q.where("qid = ''"), d).count() == 0
+
+
 def test_dense(spark):
     v = spark.createDataFrame([(i, [math.cos(i), math.sin(i)]) for i in range(50)] + [(90, None), (91, [0.0, 0.0]), (92, [1.0])], "doc_id bigint, embedding array<double>")
     q = v.where("doc_id in (3, 90, 7)").withColumnRenamed("doc_id", "qid")
